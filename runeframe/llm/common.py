@@ -50,14 +50,14 @@ def key_range(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the session's spark.checkpoint.dir; only where none is set (tests, a laptop), uses a local folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; only where it names none (tests, a laptop), a local one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)

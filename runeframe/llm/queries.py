@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runeframe.llm import mixing, pii, quality, sharding
-from runeframe.llm.common import table
+from runeframe.llm import bpe, line_dedup, mixing, ngram_join, pii, quality, sharding, substring_dedup, token_counts, topk
+from runeframe.llm.common import checkpoint_dir, n_words, table
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +39,61 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.exact_topk(table(spark, sf_dir, "embeddings"), k=5, is_query=lambda vec_id: vec_id % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by host: what is left of each page without its host's boilerplate lines."""
+    pages = table(spark, sf_dir, "pages")
+    dropped = line_dedup.drop_boilerplate(pages, line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")))
+    return dropped.select(F.col("row.page_id").alias("page_id"), "n_lines", "n_dropped", F.sha2(F.array_join("kept", "\n").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.array_join("kept", " ").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three commits over all documents, of which the second arrives twice: every document inserted with its words; documents under 10
+    words deleted; the others revised to a second version, which counts runs of letters and digits and single other characters."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    first, second = n_words(text), F.regexp_count(text, F.lit(token_counts.PIECE))
+    rollup = token_counts.TokenRollup(spark, f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("insert", token_counts.inserted(docs, "words-1", first))
+    rollup.commit("short", token_counts.deleted(docs.where(first < 10), "words-1", first))
+    rollup.commit("short", token_counts.deleted(docs.where(first < 10), "words-1", first))
+    rollup.commit("recount", token_counts.revised(docs.where(first >= 10), ("words-1", first), ("pieces-2", second)))
+    return rollup.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_mix_sources": op2_mix_sources,
     "op3_stratified_shards": op3_stratified_shards,
+    "op4_ngram_join": op4_ngram_join,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {}
