@@ -121,7 +121,8 @@ class Best:
         new = sorted([*self.found[q], *zip((-scores[take]).tolist(), ids[take].tolist(), strict=True)])[: self.k]
         self.found[q] = new
         if len(new) == self.k:
-            self.kth[q] = max(self.floor[q], -new[-1][0])
+            kth = float(-new[-1][0])
+            self.kth[q] = max(self.floor[q], kth if abs(kth) < 2**53 else np.nextafter(kth, -np.inf))  # never above the score itself
 
 
 def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int, floor: np.ndarray) -> Best:
@@ -139,8 +140,8 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np
             continue
         if not q.children and not p.children:
             scores = queries[q.rows] @ data[p.rows].T if exact else big_queries[q.rows] @ big_data[p.rows].T
-            for i, row in enumerate(q.rows):
-                best.add(row, scores[i], ids[p.rows])
+            for i in np.flatnonzero(scores.max(axis=1) >= best.kth[q.rows]):
+                best.add(q.rows[i], scores[i], ids[p.rows])
             continue
         split_query = q.children and (not p.children or q.radius > p.radius)
         pairs = [(bound(a, b), a, b) for a, b in (((c, p) for c in q.children) if split_query else ((q, c) for c in p.children))]
@@ -194,8 +195,15 @@ def exact_topk(vectors: DataFrame, *, k: int = 5, is_query, id_col: str = "vec_i
 
     place = F.xxhash64("id", F.lit(1))
     data = placed.select("id", "v", "cell", F.pmod(place, by_cell(n_blocks)).cast("int").alias("block"))
-    queries = placed.where(is_query(F.col("id"))).dropDuplicates(["id", "v"]).select(F.col("id").alias("query_id"), "v", "cell", F.pmod(place, by_cell(n_groups)).cast("int").alias("part"))
-    groups = [(c, g) for c in n_groups for g in range(n_groups[c])]
+    queries = placed.where(is_query(F.col("id"))).dropDuplicates(["id", "v"]).select(F.col("id").alias("query_id"), "v", "cell", F.pmod(F.xxhash64("id", F.lit(2)), by_cell(n_groups)).cast("int").alias("part"))
+    # Groups travel in chunks of about GROUP queries: a large cell's groups are a chunk each, small cells share one.
+    chunk, n_chunks, room = {}, 0, 0
+    for r in sorted(cells, key=lambda r: -r.queries):
+        if n_groups[r.cell] > 1 or r.queries > room:
+            chunk[r.cell], room = n_chunks, GROUP - r.queries if n_groups[r.cell] == 1 else 0
+            n_chunks += n_groups[r.cell]
+        else:
+            chunk[r.cell], room = n_chunks - 1, room - r.queries
 
     schema = "query_id long, v binary, cell int, part int, kth double, id long, score decimal(38,0)"
     numbers = pa.decimal128(38, 0)
@@ -221,8 +229,9 @@ def exact_topk(vectors: DataFrame, *, k: int = 5, is_query, id_col: str = "vec_i
             }
         )
 
-    home = queries.withColumn("block", F.lit(0)).withColumn("kth", F.lit(float("-inf")))
-    first = settled(home.groupBy("cell", "block").cogroup(data.where("block = 0").groupBy("cell", "block")).applyInArrow(run, schema))
+    home = queries.withColumn("kth", F.lit(float("-inf")))
+    near = data.where("block = 0").withColumn("part", F.explode(F.sequence(F.lit(0), by_cell(n_groups) - 1)))
+    first = settled(home.groupBy("cell", "part").cogroup(near.groupBy("cell", "part")).applyInArrow(run, schema))
 
     # Each group's worst kth score and its radius around the pivot say which cells it must still see.
     known = first.groupBy("query_id", "v", "cell", "part").agg(F.max("kth").alias("kth"))
@@ -247,12 +256,12 @@ def exact_topk(vectors: DataFrame, *, k: int = 5, is_query, id_col: str = "vec_i
             yield pd.concat(out)[["query_id", "v", "cell", "part", "kth", "target", "block"]] if out else batch.head(0).assign(target=0, block=0)[["query_id", "v", "cell", "part", "kth", "target", "block"]]
 
     aimed = full.select("query_id", "v", "cell", "part", "kth").mapInPandas(aim, "query_id long, v binary, cell int, part int, kth double, target int, block int")
-    asked = aimed.withColumn("group", F.concat_ws(":", "cell", "part"))
-    # Every block goes to each group of queries once: a stated query set against all rows, in blocks.
-    dealt = data.withColumnRenamed("cell", "target").withColumn("group", F.explode(F.array(*[F.lit(f"{c}:{g}") for c, g in groups])))
-    wanted = asked.select("target", "block", "group").distinct()
-    dealt = dealt.join(wanted, ["target", "block", "group"], "left_semi")
-    rest = asked.groupBy("target", "block", "group").cogroup(dealt.groupBy("target", "block", "group")).applyInArrow(run, schema)
+    asked = aimed.withColumn("chunk", by_cell(chunk) + F.col("part"))
+    # Every block goes to each chunk of queries once: a stated query set against all rows, in blocks.
+    dealt = data.withColumnRenamed("cell", "target").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    wanted = asked.select("target", "block", "chunk").distinct()
+    dealt = dealt.join(wanted, ["target", "block", "chunk"], "left_semi")
+    rest = asked.groupBy("target", "block", "chunk").cogroup(dealt.groupBy("target", "block", "chunk")).applyInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = first.select("query_id", "id", "score").unionByName(rest.select("query_id", "id", "score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.col("score").cast("long").alias("score"))
