@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runeframe.llm import bpe, line_dedup, mixing, ngram_join, pii, quality, sharding, substring_dedup, token_counts, topk
 from runeframe.llm.common import checkpoint_dir, n_words, table
+from runeframe.llm.oracle import ORACLE
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_mix_sources": op2_mix_sources,
@@ -95,5 +98,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
 }
-
-ORACLE: dict[str, str] = {}
