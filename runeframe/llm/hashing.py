@@ -12,7 +12,9 @@ import zstandard
 
 U = np.uint64
 #: Bytes of text hashed at once (a longer text is hashed by itself); words beyond this many bytes are hashed one by one.
-SLICE, LONG_WORD = 2_000_000, 48
+SLICE, LONG_WORD = 1_000_000, 48
+#: Ranges of hashes for each shuffle partition: a range is what one call of a grouped function holds.
+BUCKETS = 4
 _BASE = 0x9E3779B97F4A7C15
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True

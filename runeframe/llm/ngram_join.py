@@ -8,8 +8,8 @@ prefixes, so only documents that share a prefix gram are compared, each pair onc
    What a document is compared by later is just this list, and most documents have none.
 2. Prefixes. A set of n grams, h of them shared, keeps the first prefix(n) - (n - h) of the list, by frequency; if that
    leaves nothing, no partner is similar enough.
-3. Links, in rounds. In each group of documents that share a prefix gram, one leads, and is compared with all others: a group of m costs m
-   pairs, not m * m. Links merge components; groups that lie in one component are done. The rounds go on with other leaders while
+3. Links, in rounds. In each group of documents that share a prefix gram, LEADERS are compared with all others: a group of m costs LEADERS * m
+   pairs at most, not m * m. Links merge components; groups that lie in one component are done. The rounds go on with other leaders while
    each leaves far fewer pairs open than the one before; then all open pairs are compared. So no pair that passes the filters is left out, unless
    links join it already.
 
@@ -28,19 +28,21 @@ from pyspark.sql import functions as F
 
 from runeframe.llm.common import quoted, settled
 from runeframe.llm.components import components
-from runeframe.llm.hashing import bucket_cuts, grams, joined, pack, signed, sliced, steps, unpack, unsigned, word_hashes
+from runeframe.llm.hashing import BUCKETS, bucket_cuts, grams, joined, mix, pack, signed, sliced, steps, unpack, unsigned, word_hashes
 
 PRINT_BITS = 48
 #: Grams in a batch that is sent at once; documents in it, so that 16 bits name one.
-BATCH, BATCH_DOCS = 3_000_000, 60_000
-#: Rounds with leaders, at most, before all open pairs are compared; ranges of prints that the suffix filter counts in.
-ROUNDS, RANGES = 8, 32
+BATCH, BATCH_DOCS = 1_000_000, 60_000
+#: Leaders of a group in a round; rounds with leaders, at most, before all open pairs are compared; ranges of prints that the suffix filter counts in.
+LEADERS, ROUNDS, RANGES = 8, 6, 32
 
 
 def shared_grams(source: DataFrame, n_buckets: int, n: int, percent: int) -> DataFrame:
     """For each class of texts: class, n (size of its set), prints (its shared grams, ascending, as bytes), prefix (array<struct<gram, at>>).
 
-    prints and prefix are null where no text can be similar enough. source: class long, text string.
+    prints and prefix are null where no text can be similar enough. source: class long, text string. A batch names its documents by 16 bits, and
+    itself by a hash of its classes, so that a task that runs again gives the same names. Copies in other batches count as other documents here:
+    that changes frequencies, and with them an order that may be any, and is the same for all.
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,23 +51,20 @@ def shared_grams(source: DataFrame, n_buckets: int, n: int, percent: int) -> Dat
 
         def send() -> Iterator[pa.RecordBatch]:
             prints, doc = (joined(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+            held.clear()
             keys = (prints << np.uint64(16)) | doc
             keys.sort()
             keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
-            prints, doc = keys >> np.uint64(16), (keys & np.uint64(0xFFFF)).astype(np.int64)
+            prints, doc = keys >> np.uint64(16), keys & np.uint64(0xFFFF)
             classes = unsigned(np.fromiter(known, np.int64, len(known)))
-            sizes = np.bincount(doc, minlength=len(classes)).astype(np.uint64)
-            order = np.argsort(classes)
-            class_cuts, cuts = bucket_cuts(classes[order], 64, n_buckets), bucket_cuts(prints, PRINT_BITS, n_buckets)
-            rows = []
-            for b in range(n_buckets):
-                own, i = order[class_cuts[b] : class_cuts[b + 1]], slice(cuts[b], cuts[b + 1])
-                if len(own) or i.stop > i.start:
-                    some, short = np.unique(doc[i], return_inverse=True)
-                    rows.append((b, pack(steps(prints[i]), classes[some], short.astype(np.uint64)), pack(steps(classes[own]), sizes[own])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2))], names=["bucket", "grams", "sizes"])
-            held.clear()
             known.clear()
+            name = int(mix(classes * (2 * np.arange(len(classes), dtype=np.uint64) + np.uint64(1))).sum(dtype=np.uint64))
+            sizes = np.bincount(doc.astype(np.int64), minlength=len(classes)).astype(np.uint64)
+            rows = [((name * n_buckets) >> 64, None, pack(classes, sizes))]
+            cuts = bucket_cuts(prints, PRINT_BITS, n_buckets)
+            rows += [(b, pack(steps(prints[i]), doc[i]), None) for b in range(n_buckets) if (i := slice(cuts[b], cuts[b + 1])).stop > i.start]
+            signed_name = signed(np.array([name], np.uint64))[0]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([signed_name] * len(rows), pa.int64()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2))], names=["bucket", "batch", "grams", "sizes"])
 
         size = 0
         for batch in batches:
@@ -93,61 +92,60 @@ def shared_grams(source: DataFrame, n_buckets: int, n: int, percent: int) -> Dat
             yield from send()
 
     def count(table: pa.Table) -> pa.Table:
-        prints, owner = [], []
-        for blob in table.column("grams").to_pylist():
-            s, some, short = unpack(blob)
-            prints.append(np.cumsum(s, dtype=np.uint64))
-            owner.append(some[short.astype(np.int64)])
-        prints, owner = joined(prints), joined(owner)
-        order = np.lexsort((owner, prints))
-        prints, owner = prints[order], owner[order]
+        here = table.column("bucket")[0].as_py()
+        names, blobs = table.column("batch").to_pylist(), table.column("grams").to_pylist()
+        out = [(here, names[i], None, x) for i, x in enumerate(table.column("sizes").to_pylist()) if x is not None]
+        names, blobs = [x for x, b in zip(names, blobs, strict=True) if b is not None], [b for b in blobs if b is not None]
+        found = [unpack(b) for b in blobs]
+        prints, doc = joined(np.cumsum(s, dtype=np.uint64) for s, _ in found), joined(d for _, d in found)
+        origin = np.repeat(np.arange(len(found), dtype=np.uint64), [len(s) for s, _ in found]) if found else doc
+        order = np.argsort(prints, kind="stable")
+        prints, doc, origin = prints[order], doc[order], origin[order]
         if len(prints):
-            new = np.append(True, (prints[1:] != prints[:-1]) | (owner[1:] != owner[:-1]))
-            prints, owner = prints[new], owner[new]
-            start = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
-            often = np.diff(np.append(start, len(prints)))
+            often = np.diff(np.append(np.flatnonzero(np.append(True, prints[1:] != prints[:-1])), len(prints)))
             often = np.repeat(often, often)
-            prints, owner, often = prints[often > 1], owner[often > 1], often[often > 1].astype(np.uint64)
-            order = np.argsort(owner, kind="stable")
-            prints, owner, often = prints[order], owner[order], often[order]
-        else:
-            often = prints
-        cuts = bucket_cuts(owner, 64, n_buckets)
-        rows = [(b, pack(steps(owner[i]), prints[i], often[i]), None) for b in range(n_buckets) if (i := slice(cuts[b], cuts[b + 1])).stop > i.start]
-        here = table.column("bucket")[0].as_py()
-        rows += [(here, None, x) for x in table.column("sizes").to_pylist()]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "hits": pa.array([r[1] for r in rows], pa.binary()), "sizes": pa.array([r[2] for r in rows], pa.binary())})
+            shared = often > 1
+            prints, doc, origin, often = prints[shared], doc[shared], origin[shared], often[shared].astype(np.uint64)
+            order = np.lexsort((doc, origin))
+            prints, doc, origin, often = prints[order], doc[order], origin[order], often[order]
+            cuts = np.searchsorted(origin, np.arange(len(found) + 1, dtype=np.uint64))
+            for j, name in enumerate(names):
+                i = slice(cuts[j], cuts[j + 1])
+                if i.stop > i.start:
+                    out.append((((name % 2**64) * n_buckets) >> 64, name, pack(doc[i], prints[i], often[i]), None))
+        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int32()), "batch": pa.array([r[1] for r in out], pa.int64()), "hits": pa.array([r[2] for r in out], pa.binary()), "sizes": pa.array([r[3] for r in out], pa.binary())})
 
     def choose(table: pa.Table) -> pa.Table:
-        sizes: dict[int, int] = {}
-        for blob in table.column("sizes").drop_null().to_pylist():
-            s, n_ = unpack(blob)
-            sizes.update(zip(np.cumsum(s, dtype=np.uint64).tolist(), n_.tolist(), strict=True))
-        found = [unpack(b) for b in table.column("hits").drop_null().to_pylist()]
-        owner, prints, often = joined(np.cumsum(s, dtype=np.uint64) for s, _, _ in found), joined(p for _, p, _ in found), joined(o for _, _, o in found)
-        order = np.argsort(owner, kind="stable")
-        owner, prints, often = owner[order], prints[order], often[order]
-        classes = np.array(sorted(sizes), dtype=np.uint64)
-        lo, hi = np.searchsorted(owner, classes), np.searchsorted(owner, classes, side="right")
-        blobs: list[bytes | None] = []
-        prefixes: list[list[dict] | None] = []
-        for c, a, b in zip(classes.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            alone = sizes[c] - (b - a)
-            keep = sizes[c] - (percent * sizes[c] + 99) // 100 + 1 - alone
-            if b == a or keep < 1:
-                blobs.append(None)
-                prefixes.append(None)
-                continue
-            mine = prints[a:b]
-            first = mine[np.lexsort((mine, often[a:b]))][:keep]
-            blobs.append(np.sort(mine).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : PRINT_BITS // 8].tobytes())
-            prefixes.append([{"gram": g, "at": alone + i} for i, g in enumerate(signed(first).tolist())])
+        rows: list[tuple[int, int, bytes | None, list[dict] | None]] = []
+        batches: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        for name, hit, size in zip(*(table.column(c).to_pylist() for c in ("batch", "hits", "sizes")), strict=True):
+            batches.setdefault(name, ([], []))[hit is None].append(size if hit is None else hit)
+        for hits, sizes in batches.values():
+            for classes, n_ in map(unpack, sizes[:1]):
+                found = [unpack(b) for b in hits]
+                doc, prints, often = (joined(f[j] for f in found) for j in range(3))
+                order = np.lexsort((prints, often, doc))
+                doc, prints, often = doc[order], prints[order], often[order]
+                if len(doc):  # batches of the same texts in the same order have one name
+                    new = np.append(True, (doc[1:] != doc[:-1]) | (prints[1:] != prints[:-1]))
+                    doc, prints, often = doc[new], prints[new], often[new]
+                cuts = np.searchsorted(doc, np.arange(len(classes) + 1, dtype=np.uint64)).tolist()
+                for i, (c, m) in enumerate(zip(signed(classes).tolist(), n_.tolist(), strict=True)):
+                    a, b = cuts[i], cuts[i + 1]
+                    alone = m - (b - a)
+                    keep = m - (percent * m + 99) // 100 + 1 - alone
+                    if b == a or keep < 1:
+                        rows.append((c, m, None, None))
+                        continue
+                    mine = prints[a:b]
+                    blob = np.sort(mine).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : PRINT_BITS // 8].tobytes()
+                    rows.append((c, m, blob, [{"gram": g, "at": alone + j} for j, g in enumerate(mine[:keep].tolist())]))
         kind = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int64())]))
-        return pa.table({"class": pa.array(signed(classes)), "n": pa.array([sizes[c] for c in classes.tolist()], pa.int64()), "prints": pa.array(blobs, pa.binary()), "prefix": pa.array(prefixes, kind)})
+        return pa.table({"class": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "prints": pa.array([r[2] for r in rows], pa.binary()), "prefix": pa.array([r[3] for r in rows], kind)})
 
-    sent = source.mapInArrow(scan, "bucket int, grams binary, sizes binary")
-    counted = sent.groupBy("bucket").applyInArrow(count, "bucket int, hits binary, sizes binary")
-    return counted.groupBy("bucket").applyInArrow(choose, "class long, n long, prints binary, prefix array<struct<gram:long,at:long>>")
+    sent = source.mapInArrow(scan, "bucket int, batch long, grams binary, sizes binary")
+    counted = sent.groupBy("bucket").applyInArrow(count, "bucket int, batch long, hits binary, sizes binary")
+    return counted.groupBy("bucket").applyInArrow(choose, "class long, n long, prints binary, prefix array<struct<gram:long,at:long>>").dropDuplicates(["class"])
 
 
 def _prints(blob: bytes) -> np.ndarray:
@@ -199,22 +197,25 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def linked_classes(classes: DataFrame, percent: int) -> DataFrame | None:
     """class, component, for classes that have links; None if there are no candidates."""
     postings = settled(classes.where("prefix is not null").select("class", "n", F.explode("prefix").alias("p")).select("class", "n", F.col("p.gram").alias("gram"), F.col("p.at").alias("at")))
-    labels, links, tested, last = None, None, None, None
+    labels, links, tested, last, open_ = None, None, None, None, postings
     for turn in range(ROUNDS + 1):
-        here = postings.withColumn("component", F.col("class")) if labels is None else postings.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        here = open_.withColumn("component", F.col("class")) if labels is None else open_.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
         # Groups in several components, and how many of their pairs lie across
-        tally = here.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.count(F.lit(1)).alias("parts"), ((F.pow(F.sum("m"), 2) - F.sum(F.pow("m", 2))) / 2).alias("across"))
+        tally = here.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("size"), ((F.pow(F.sum("m"), 2) - F.sum(F.pow("m", 2))) / 2).alias("across"))
         tally = settled(tally.where("parts > 1"))
         rest = tally.agg(F.sum("across")).first()[0]
         if not rest:
             break
-        open_ = settled(here.join(tally.select("gram"), "gram"))
-        everything = turn == ROUNDS or rest <= open_.count() or (last is not None and rest > 0.7 * last)
+        now = settled(here.drop("size").join(tally.select("gram", "size"), "gram"))
+        # Groups of up to LEADERS + 1 have all their pairs compared in this round; a group in one component stays in one
+        open_ = now.where(F.col("size") > LEADERS + 1).drop("component")
+        everything = turn == ROUNDS or rest <= LEADERS * now.count() or (last is not None and rest > 0.8 * last)
         last = rest
-        a = open_.select("gram", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("of_a"))
-        b = open_.select("gram", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("of_b"))
-        if not everything:  # the first by a hash that changes with the round
-            a = a.withColumn("nth", F.row_number().over(Window.partitionBy("gram").orderBy(F.xxhash64(F.lit(turn), "a"), "a"))).where("nth = 1").drop("nth")
+        a = now.select("gram", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("of_a"))
+        b = now.select("gram", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("of_b"))
+        if not everything:  # first those with the fewest grams of their own, the likely centres; then by a hash that changes with the round
+            chosen = ["at_a", "a"] if turn == 0 else [F.xxhash64(F.lit(turn), "a"), "a"]
+            a = a.withColumn("nth", F.row_number().over(Window.partitionBy("gram").orderBy(*chosen))).where(F.col("nth") <= LEADERS).drop("nth")
         pairs = a.join(b, "gram").where("of_a < of_b" if everything else "of_a <> of_b").where(_passes(percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = settled(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
@@ -235,7 +236,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: s
     repeated rows are linked. Null ids don't count as smallest; a component of null ids has component null. An empty table gives no rows.
     Other columns are not looked at.
     """
-    n_buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))).alias("class"), quoted(text_col).alias("text"))
     classes = settled(shared_grams(source, n_buckets, n, percent))
     labels = linked_classes(classes, percent)
