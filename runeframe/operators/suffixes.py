@@ -161,9 +161,9 @@ def backward_step(suffixes: DataFrame, intervals: DataFrame, id_col: str = "doc_
     """intervals (id, lb, rb, sym) with new_lb, new_rb: ranks of suffixes that have sym before what those of lb to rb start with. Empty: new_rb = new_lb - 1."""
     c = alphabet(suffixes.withColumnRenamed("bwt", "sym"), [id_col]).select(id_col, "sym", "c_before")
     seen = suffixes.select(id_col, F.col("bwt").alias("sym"), F.col("rank").alias("at"))
-    asked = intervals.withColumn("nth", F.monotonically_increasing_id())
-    counted = asked.join(seen, [id_col, "sym"], "left").groupBy("nth").agg(F.count_if(F.col("at") < F.col("lb")).alias("to_lb"), F.count_if(F.col("at") <= F.col("rb")).alias("to_rb"))
-    joined = asked.join(counted, "nth").join(c, [id_col, "sym"], "left")
+    keys = [id_col, "sym", "lb", "rb"]
+    counted = intervals.select(*keys).distinct().join(seen, [id_col, "sym"], "left").groupBy(*keys).agg(F.count_if(F.col("at") < F.col("lb")).alias("to_lb"), F.count_if(F.col("at") <= F.col("rb")).alias("to_rb"))
+    joined = intervals.join(counted, keys).join(c, [id_col, "sym"], "left")
     base = F.coalesce("c_before", F.lit(0))
     return joined.select(*intervals.columns, (base + F.col("to_lb")).alias("new_lb"), (base + F.col("to_rb") - 1).alias("new_rb"))
 
