@@ -41,17 +41,15 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, *, ratio: fl
     their own. A line counts once a page, however often it stands there; repeated rows are pages of their own. An empty table gives no rows.
     Columns of the input stay inside row.
     """
-    base = pages.select(
-        F.struct(*[quoted(c) for c in pages.columns]).alias("row"),
-        F.coalesce(host.cast("string"), F.lit("")).alias("host"),
-        host.isNull().alias("no_host"),
-        F.coalesce(lines, F.array(F.lit(""))).alias("lines"),
-    )
-    site = ["no_host", "host"]
-    hashed = lambda xs: F.transform(F.filter(xs, lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x))
-    totals = base.groupBy(*site).agg(F.count(F.lit(1)).alias("pages"))
+    site, every = ["no_host", "host"], F.coalesce(lines, F.array(F.lit("")))
+    name = "boilerplate"
+    while name in pages.columns:
+        name += "_"
+    hosts = [F.coalesce(host.cast("string"), F.lit("")).alias("host"), host.isNull().alias("no_host")]
+    hashed = F.transform(F.filter(every, lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x))
+    totals = pages.select(*hosts).groupBy(*site).agg(F.count(F.lit(1)).alias("pages"))
     common = (
-        base.select(*site, F.explode(F.array_distinct(hashed(F.col("lines")))).alias("line"))
+        pages.select(*hosts, F.explode(F.array_distinct(hashed)).alias("line"))
         .groupBy(*site, "line")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= least_pages)  # before the join: most lines go here
@@ -61,12 +59,13 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, *, ratio: fl
         .agg(F.collect_set("line").alias("boilerplate"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    dealt = base.withColumn("salt", F.pmod(F.xxhash64("lines"), F.lit(SALTS)).cast("int"))
-    known = F.coalesce(F.col("boilerplate"), F.array().cast("array<bigint>"))
-    kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(known, F.xxhash64(x)))
-    return dealt.join(common, [*site, "salt"], "left").select(
-        "row", F.size("lines").cast("long").alias("n_lines"), let(kept, lambda k: F.struct(k.alias("kept"), (F.size("lines") - F.size(k)).cast("long").alias("n"))).alias("x")
-    ).select("row", "n_lines", F.col("x.n").alias("n_dropped"), F.col("x.kept").alias("kept"))
+    # Pages travel as they are; their lines are cut again behind the join.
+    row = F.struct(*[quoted(c) for c in pages.columns])
+    dealt = pages.select(row.alias("row"), *hosts, F.pmod(F.xxhash64(*[quoted(c) for c, kind in pages.dtypes if "map" not in kind]), F.lit(SALTS)).cast("int").alias("salt"))
+    joined = dealt.join(common, [*site, "salt"], "left").select("row.*", F.coalesce("boilerplate", F.array().cast("array<bigint>")).alias(name))
+    kept = let(every, lambda x: F.struct(F.size(x).alias("n"), F.filter(x, lambda y: (F.trim(y) == "") | ~F.array_contains(quoted(name), F.xxhash64(y))).alias("kept")))
+    cut = joined.select(row.alias("row"), kept.alias("x"))
+    return cut.select("row", F.col("x.n").cast("long").alias("n_lines"), (F.col("x.n") - F.size("x.kept")).cast("long").alias("n_dropped"), F.col("x.kept").alias("kept"))
 
 
 def without_boilerplate(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
