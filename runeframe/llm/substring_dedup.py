@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runeframe.llm.common import quoted, words
-from runeframe.llm.hashing import bucket_cuts, grams, joined, pack, signed, sliced, steps, unpack, unsigned, word_hashes
+from runeframe.llm.hashing import BUCKETS, bucket_cuts, grams, joined, pack, signed, sliced, steps, unpack, unsigned, word_hashes
 
 WINDOW, BLOCK, PROBE_BITS = 20, 10, 48
 #: Positions in a batch that is sent at once.
-BATCH = 3_000_000
+BATCH = 1_000_000
 #: Words of an open run: more than a text can have.
 REST = 2**30
 #: A null id comes after all others.
@@ -105,6 +105,7 @@ def anchors(source: DataFrame, n_buckets: int) -> DataFrame:
 
 def kept_runs(anchored: DataFrame, n_buckets: int, window: int = WINDOW) -> DataFrame:
     """id, runs (array<struct<start, size>>): what stays of each document that loses words; the last run is open. anchored: id, text, blocks."""
+    n_owners = max(1, n_buckets // BUCKETS)
 
     def around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -152,11 +153,11 @@ def kept_runs(anchored: DataFrame, n_buckets: int, window: int = WINDOW) -> Data
         later = (ids != ids[lead]) | (at != at[lead])
         ids, at = ids[later], at[later]
         owner = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        owner = (owner * np.uint64(n_buckets)) >> np.uint64(32)
+        owner = (owner * np.uint64(n_owners)) >> np.uint64(32)
         order = np.lexsort((at, ids, owner))
         owner, ids, at = owner[order], ids[order], at[order]
-        cuts = np.searchsorted(owner, np.arange(n_buckets + 1, dtype=np.uint64))
-        rows = [(b, pack(steps(ids[i]), at[i])) for b in range(n_buckets) if (i := slice(cuts[b], cuts[b + 1])).stop > i.start]
+        cuts = np.searchsorted(owner, np.arange(n_owners + 1, dtype=np.uint64))
+        rows = [(b, pack(steps(ids[i]), at[i])) for b in range(n_owners) if (i := slice(cuts[b], cuts[b + 1])).stop > i.start]
         return pa.table({"owner": pa.array([r[0] for r in rows], pa.int32()), "removed": pa.array([r[1] for r in rows], pa.binary())})
 
     def extend(table: pa.Table) -> pa.Table:
@@ -193,7 +194,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     document, so repeated rows aren't repeats of each other and get one verdict; a null id is one that comes last. A null or
     empty text has no words; a text under WINDOW words keeps all. An empty table gives no rows. Other columns are not looked at.
     """
-    n_buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.coalesce(quoted(id_col).cast("long"), F.lit(LAST)).alias("id"), quoted(text_col).alias("text"))
     # Both joins read the same exchange of the texts.
     anchored = source.join(anchors(source, n_buckets), "id", "left").select("id", "text", "blocks")
