@@ -172,11 +172,53 @@ def narrowed(block_rows: DataFrame, patterns: DataFrame, id_col: str = "doc_id")
     return above.unionByName(below)
 
 
-def chunks_absent(block_rows: DataFrame, patterns: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """pattern_id, id of patterns that can't occur in a document: neither the start of a block's prefix nor started by one."""
-    docs = block_rows.select(id_col).distinct()
-    p = patterns.where("length(pattern) > 0").select("pattern_id")
-    return docs.join(p).join(narrowed(block_rows, patterns, id_col).select("pattern_id", id_col), ["pattern_id", id_col], "left_anti").select("pattern_id", id_col)
+def under(block_rows: DataFrame, patterns: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """pattern_id, id, block, depth, size: every block whose prefix starts with a pattern."""
+    p = patterns.where("length(pattern) > 0").select("pattern_id", "pattern", F.substring("pattern", 1, 1).alias("head"))
+    b = block_rows.withColumn("head", F.substring("prefix", 1, 1))
+    return b.join(p, "head").where(F.startswith(F.col("prefix"), F.col("pattern"))).select("pattern_id", id_col, "block", "depth", "size")
+
+
+def chunk_filter(block_rows: DataFrame, patterns: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """pattern_id, id: the pairs that block prefixes don't rule out. A pattern is cut greedily into block prefixes, like a text; each piece must be there.
+
+    All pairs advance by one piece a round, and there are as many rounds as the longest pattern has pieces.
+    """
+    b = block_rows.select(id_col, "prefix", "depth", F.substring("prefix", 1, 1).alias("head")).where("prefix <> ''")
+    going = patterns.where("length(pattern) > 0").select("pattern_id", F.col("pattern").alias("rest")).join(block_rows.select(id_col).distinct())
+    passed = None
+    while True:
+        met = going.withColumn("head", F.substring("rest", 1, 1)).join(b, [id_col, "head"])
+        whole = F.startswith(F.col("prefix"), F.col("rest"))
+        piece = F.startswith(F.col("rest"), F.col("prefix")) & (F.col("depth") == F.length("prefix"))
+        step = kept(met.where(whole | piece).select("pattern_id", id_col, whole.alias("done"), F.when(~whole, F.substring(F.col("rest"), (F.col("depth") + 1).cast("int"), F.length("rest"))).alias("rest")).distinct())
+        done = step.where("done").select("pattern_id", id_col)
+        passed = done if passed is None else passed.unionByName(done)
+        going = step.where("not done").select("pattern_id", "rest", id_col)
+        if not going.limit(1).count():
+            return passed.distinct()
+
+
+def singletons(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, block, pos: where the only suffix of each block of one suffix starts."""
+    alone = table.groupBy(id_col, "block").agg(F.count(F.lit(1)).alias("size"), F.min("pos").alias("pos"))
+    return alone.where("size = 1").select(id_col, "block", "pos")
+
+
+def headers(reduced: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, dest_block, header: for each irreducible block those that reduce to it, with where they lie in it and how many steps away."""
+    entry = F.struct("delta_x", "delta_d", "block")
+    return reduced.where("delta_d > 0").groupBy(id_col, "dest_block").agg(F.sort_array(F.collect_list(entry)).alias("header"))
+
+
+def stands_in_factors(parsed: DataFrame, block_rows: DataFrame, places: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """places (id, pos, pattern) where the pattern stands, judged on the factors alone: of each place, those from the last border before it to its end."""
+    f = parsed.join(block_rows.select(id_col, "block", "prefix"), [id_col, "block"]).select(id_col, "start_pos", "depth", "prefix")
+    near = places.join(f, id_col).where((F.col("start_pos") < F.col("pos") + F.length("pattern")) & (F.col("start_pos") + F.col("depth") > F.col("pos")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_pos", "prefix"))), lambda x: x["prefix"]), "")
+    joined = near.groupBy(*places.columns).agg(text.alias("text"), F.min("start_pos").alias("first"))
+    here = F.substring(F.col("text"), (F.col("pos") - F.col("first") + 1).cast("int"), F.length("pattern")) == F.col("pattern")
+    return joined.where(here).select(*places.columns)
 
 
 def minimal_depths(block_rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -128,6 +128,9 @@ coalesce(sum(size) FILTER (size > 1 AND NOT reducible), 0)::BIGINT AS n_ir, max(
     "block_trie_nodes": f"""WITH {BLOCKS}, heavy AS (SELECT doc_id, count(*) AS h FROM (SELECT doc_id, prefix FROM prefixes GROUP BY ALL HAVING count(*) > {B}) GROUP BY ALL), b AS (SELECT doc_id, count(*) AS blocks FROM blk GROUP BY ALL)
 SELECT doc_id, 1 + coalesce(h, 0) + blocks AS nodes, blocks FROM b LEFT JOIN heavy USING (doc_id)""",
     "block_minimal_depths": f"WITH {BLOCKS} SELECT doc_id, block AS lb, min(depth) AS min_depth FROM blk GROUP BY ALL",
+    "singleton_pointers": f"WITH {BLOCKS} SELECT doc_id, block, min(pos) AS pos FROM bt GROUP BY ALL HAVING count(*) = 1",
+    "blocks_under_prefix": f"WITH {BLOCKS}, heads AS (SELECT DISTINCT left(string_split(text, ' ')[1], 1) AS pattern_id FROM names) SELECT pattern_id, doc_id, block, depth, size FROM blk JOIN heads ON starts_with(prefix, pattern_id)",
+    "factor_search": f"WITH {NAMES}, each AS (SELECT doc_id, text, string_split(text, ' ')[1] AS pattern, unnest(range(0, length(text))) AS pos FROM names) SELECT doc_id, pattern, pos FROM each WHERE substring(text, pos + 1, length(pattern)) = pattern",
     "condensed_bwt": f"WITH {BLOCKS} SELECT doc_id, rank, bwt FROM bt WHERE rank = block",
     "greedy_parse": f"WITH RECURSIVE {PARSE} SELECT doc_id, factor_no, block, start_pos, depth, factor_no % 2 = 0 AS border FROM fac",
     "factor_positions": f"WITH RECURSIVE {PARSE} SELECT s.doc_id, s.pos, max(factor_no) AS factor_no FROM sa s JOIN fac f ON s.doc_id = f.doc_id AND f.start_pos <= s.pos GROUP BY ALL",

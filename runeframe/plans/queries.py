@@ -332,6 +332,46 @@ def block_reductions(spark, sf_dir):
     return blocks.reductions(_parsed(spark, sf_dir)[1])
 
 
+@query
+def block_headers(spark, sf_dir):
+    """Blocks that reduce to each irreducible one, as one line of text each."""
+    h = blocks.headers(blocks.reductions(_parsed(spark, sf_dir)[1]))
+    return h.select("doc_id", "dest_block", F.concat_ws(" ", F.transform("header", lambda x: F.concat_ws(":", x["delta_x"], x["delta_d"], x["block"]))).alias("header"))
+
+
+@query
+def singleton_pointers(spark, sf_dir):
+    return blocks.singletons(_parsed(spark, sf_dir)[1])
+
+
+def _first_words(spark, sf_dir):
+    words = names(spark, sf_dir).select(F.substring_index("text", " ", 1).alias("pattern")).distinct()
+    return words.select(F.col("pattern").alias("pattern_id"), "pattern")
+
+
+@query
+def blocks_under_prefix(spark, sf_dir):
+    """Blocks under the first symbol of each first word of a name."""
+    heads = _first_words(spark, sf_dir).select(F.substring("pattern", 1, 1).alias("pattern")).distinct().select(F.col("pattern").alias("pattern_id"), "pattern")
+    return blocks.under(_parsed(spark, sf_dir)[2], heads)
+
+
+@query
+def chunk_filter(spark, sf_dir):
+    """First words of names against the block prefixes of every name: pairs that can occur, by word."""
+    found = blocks.chunk_filter(_parsed(spark, sf_dir)[2], _first_words(spark, sf_dir))
+    return found.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query
+def factor_search(spark, sf_dir):
+    """Where a name's first word stands in it, judged on factors."""
+    n, t, b = _parsed(spark, sf_dir)
+    word = F.substring_index("text", " ", 1)
+    places = n.select("doc_id", word.alias("pattern"), F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1)).alias("pos")).where("length(pattern) > 0")
+    return blocks.stands_in_factors(blocks.factors(t), b, places)
+
+
 @query
 def block_delta_stats(spark, sf_dir):
     r = blocks.delta_statistics(blocks.reductions(_parsed(spark, sf_dir)[1]))

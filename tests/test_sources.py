@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from runeframe import cli
 from runeframe.operators import search
+from runeframe.plans.telemetry import timed
 from runeframe.sources import corpus, logs
 from runeframe.sources.store import Index
 from runeframe.streaming.append import append_stream
@@ -87,3 +88,10 @@ def test_command_line(spark, tmp_path, capsys):
         assert cli.main([*common, f"--{mode}"], spark) == 0
     said = capsys.readouterr().out
     assert "mississippi" in said and "# real_ms" in said and "True" in said
+
+
+def test_readings_are_logs(spark):
+    reading = timed("ten", spark.range(10))
+    assert reading.rows == 10 and reading.real_ms > 0
+    frame = spark.createDataFrame([("f", i, x) for i, x in enumerate(reading.lines())], "file string, line_no long, line string")
+    assert logs.records(frame, ["name", "rows"]).first().rows == "10"

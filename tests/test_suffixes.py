@@ -159,8 +159,24 @@ def test_narrowing_answers_short_patterns(spark, figures, table):
         seen.add((r.pattern_id, r.doc_id))
         assert counts[r.pattern_id, r.doc_id] == r.size if r.answered else counts[r.pattern_id, r.doc_id] <= r.size <= 3
     assert set(counts) <= seen
-    absent = {(r.pattern_id, r.doc_id) for r in blocks.chunks_absent(rows, patterns(spark, asked)).collect()}
-    assert absent == {(i, d) for i in range(len(asked)) for d in range(4)} - seen
+    possible = {(r.pattern_id, r.doc_id) for r in blocks.chunk_filter(rows, patterns(spark, asked)).collect()}
+    assert set(counts) <= possible <= seen
+    under = Counter()
+    for r in blocks.under(rows, patterns(spark, asked)).collect():
+        under[r.pattern_id, r.doc_id] += r.size
+    assert under == {(r.pattern_id, r.doc_id): r.size for r in narrowed if r.answered}
+
+
+def test_pointers_and_headers(spark, figures, table):
+    rows = {(r.doc_id, r.block): r for r in blocks.blocks(table, figures).collect()}
+    alone = {(r.doc_id, r.block) for r in blocks.singletons(table).collect()}
+    assert alone == {k for k, r in rows.items() if r.size == 1}
+    reduced = blocks.reductions(table)
+    for r in blocks.headers(reduced).collect():
+        assert not rows[r.doc_id, r.dest_block].reducible and all(rows[r.doc_id, h.block].reducible for h in r.header)
+    places = spark.createDataFrame([(0, 2, "ssi"), (0, 2, "sip"), (0, 8, "ppi"), (0, 9, "pip")], "doc_id long, pos long, pattern string")
+    got = blocks.stands_in_factors(blocks.factors(table), blocks.blocks(table, figures), places).collect()
+    assert sorted((r.pos, r.pattern) for r in got) == [(2, "ssi"), (8, "ppi")]
 
 
 def test_too_large_a_block_can_not_be_parsed(spark):
