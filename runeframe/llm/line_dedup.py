@@ -15,7 +15,7 @@ from runeframe.llm.common import let, quoted
 
 #: A line is boilerplate above this share of its host's pages, and in this many pages at least.
 RATIO, LEAST_PAGES = 0.06, 5
-SALTS = 16
+SALTS = 64
 #: Closing tags of blocks, after which a line of a web page ends.
 BLOCK_END = r"(</(?:p|div|li|ul|nav|h1|h2|article|footer|header|title|script|style|head)>|<br>)"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
