@@ -1,8 +1,8 @@
 """Pattern search over documents: count, locate, context, earliest places, batches.
 
-Occurrences may overlap and never cross documents. A batch of patterns is one pass over the texts: the q-grams of a text, q the length of the
-shortest pattern up to KEY, join the patterns' first q symbols; what is left of a pattern is compared where it would stand. An empty pattern stands at
-every place from 0 to the length of a text.
+Occurrences may overlap and never cross documents. A batch of patterns is one pass over the texts: a pattern's key is its first q symbols, q the largest
+of LEVELS that it reaches; the q-grams at each place of a text, for the levels that the batch has, join the keys; what is left of a pattern is compared
+where it would stand. An empty pattern stands at every place from 0 to the length of a text.
 """
 
 from __future__ import annotations
@@ -15,20 +15,30 @@ from pyspark.sql import functions as F
 from runeframe.functions.text import SMALL, pieces
 from runeframe.plans.sizing import small_side
 
-KEY = 12
+#: Lengths of keys.
+LEVELS = (1, 2, 3, 4, 6, 8, 12)
+
+
+def level_of(m: Column, most: int = LEVELS[-1]) -> Column:
+    """The largest level up to a length (1 at least)."""
+    return F.greatest(*[F.when(m >= q, q).otherwise(0) for q in LEVELS if q <= most], F.lit(0))
+
+
+def keys_at(text: Column, at: Column, levels: list[int]) -> Column:
+    """The substrings of a text from a place (from 0) on, one for each level that fits in."""
+    return F.array_compact(F.array(*[F.when(F.length(text) - at >= q, F.substring(text, at + 1, F.lit(q))) for q in levels]))
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern_id, doc_id, pos for docs (doc_id, text) and patterns (pattern_id, pattern)."""
     wanted = patterns.where("pattern is not null").select("pattern_id", "pattern", F.length("pattern").alias("m"))
-    lengths = wanted.agg(F.min(F.when(F.col("m") > 0, F.col("m"))).alias("least"), F.max("m").alias("most"), F.count(F.when(F.col("m") == 0, 1)).alias("empty")).first()
+    lengths = wanted.agg(F.max("m").alias("most"), F.count(F.when(F.col("m") == 0, 1)).alias("empty"), F.collect_set(F.when(F.col("m") > 0, level_of(F.col("m")))).alias("levels")).first()
     found = None
-    if lengths.least:
-        q, most = min(KEY, lengths.least), lengths.most
-        keyed = small_side(wanted.where("m > 0").withColumn("key", F.substring("pattern", 1, q)), "pattern")
-        cut = pieces(docs.select("doc_id", "text"), most - 1)
-        grams = F.transform(F.sequence(F.lit(1), F.least(F.length("piece") - q + 1, F.lit(SMALL))), lambda i: F.substring(F.col("piece"), i, F.lit(q)))
-        each = cut.where(F.length("piece") >= q).select("doc_id", "start", "piece", F.posexplode(grams).alias("at", "key"))
+    if lengths.levels:
+        keyed = small_side(wanted.where("m > 0").withColumn("key", F.substring(F.col("pattern"), F.lit(1), level_of(F.col("m")))), "pattern")
+        cut = pieces(docs.select("doc_id", "text"), lengths.most - 1)
+        places = cut.select("doc_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.least(F.length("piece"), F.lit(SMALL)) - 1)).alias("at"))
+        each = places.select("doc_id", "start", "piece", "at", F.explode(keys_at(F.col("piece"), F.col("at"), sorted(lengths.levels))).alias("key"))
         here = F.substring(F.col("piece"), F.col("at") + 1, F.col("m")) == F.col("pattern")
         found = each.join(keyed, "key").where(here).select("pattern_id", "doc_id", (F.col("start") + F.col("at")).alias("pos"))
     if lengths.empty:

@@ -191,16 +191,17 @@ def index_rows(docs: DataFrame, key: int) -> DataFrame:
 
 def look_up(index: DataFrame, docs: DataFrame, patterns: DataFrame, key: int) -> DataFrame:
     """pattern_id, doc_id, pos through an index of index_rows(): patterns up to key symbols by range of keys, which files sorted by key skip; for longer
-    ones the key finds candidates, and the text decides. A range is met by an equality on the shortest pattern's length first."""
+    ones the key finds candidates, and the text decides. Within the range of all patterns, keys meet by equality on the levels of search.LEVELS."""
+    from runeframe.operators.search import keys_at, level_of
+
     wanted = patterns.where("length(pattern) > 0").select("pattern_id", "pattern", F.length("pattern").alias("m"))
-    least = wanted.agg(F.min("m")).first()[0]
-    if least is None:
+    keyed = wanted.withColumn("q", F.substring(F.col("pattern"), F.lit(1), level_of(F.col("m"), key)))
+    bounds = keyed.agg(F.min("q").alias("low"), F.max(F.concat("q", F.lit("\U0010ffff"))).alias("high"), F.collect_set(level_of(F.col("m"), key)).alias("levels")).first()
+    if bounds.low is None:
         return index.select(F.lit(None).cast(patterns.schema["pattern_id"].dataType).alias("pattern_id"), "doc_id", "pos").where(F.lit(False))
-    q = min(least, key)
-    keyed = wanted.withColumn("q", F.substring("pattern", 1, q))
-    bounds = keyed.agg(F.min("q").alias("low"), F.max("q").alias("high")).first()
-    near = index.where((F.col("key") >= bounds.low) & (F.col("key") < F.lit(bounds.high + "\U0010ffff")))
-    hits = near.withColumn("q", F.substring("key", 1, q)).join(small_side(keyed, "pattern"), "q").where(F.substring(F.col("key"), F.lit(1), F.col("m")) == F.substring(F.col("pattern"), 1, key))
+    near = index.where((F.col("key") >= bounds.low) & (F.col("key") < F.lit(bounds.high)))
+    each = near.select("doc_id", "pos", "key", F.explode(keys_at(F.col("key"), F.lit(0), sorted(bounds.levels))).alias("q"))
+    hits = each.join(small_side(keyed, "pattern"), "q").where(F.substring(F.col("key"), F.lit(1), F.col("m")) == F.substring(F.col("pattern"), 1, key))
     short = hits.where(F.col("m") <= key).select("pattern_id", "doc_id", "pos")
     stands: Column = F.substring(F.col("text"), (F.col("pos") + 1).cast("int"), F.col("m")) == F.col("pattern")
     long = hits.where(F.col("m") > key).join(docs.select("doc_id", "text"), "doc_id").where(stands).select("pattern_id", "doc_id", "pos")
