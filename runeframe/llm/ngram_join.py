@@ -40,7 +40,7 @@ LEADERS, ROUNDS, RANGES = 8, 6, 32
 def shared_grams(source: DataFrame, n_buckets: int, n: int, percent: int) -> DataFrame:
     """For each class of texts: class, n (size of its set), prints (its shared grams, ascending, as bytes), prefix (array<struct<gram, at>>).
 
-    prints and prefix are null where no text can be similar enough. source: class long, text string. A batch names its documents by 16 bits, and
+    prints and prefix are null where no text can be similar enough. A class has a row, the same, for each batch that holds it. source: class long, text string. A batch names its documents by 16 bits, and
     itself by a hash of its classes, so that a task that runs again gives the same names. Copies in other batches count as other documents here:
     that changes frequencies, and with them an order that may be any, and is the same for all.
     """
@@ -145,7 +145,7 @@ def shared_grams(source: DataFrame, n_buckets: int, n: int, percent: int) -> Dat
 
     sent = source.mapInArrow(scan, "bucket int, batch long, grams binary, sizes binary")
     counted = sent.groupBy("bucket").applyInArrow(count, "bucket int, batch long, hits binary, sizes binary")
-    return counted.groupBy("bucket").applyInArrow(choose, "class long, n long, prints binary, prefix array<struct<gram:long,at:long>>").dropDuplicates(["class"])
+    return counted.groupBy("bucket").applyInArrow(choose, "class long, n long, prints binary, prefix array<struct<gram:long,at:long>>")
 
 
 def _prints(blob: bytes) -> np.ndarray:
@@ -182,7 +182,8 @@ def _passes(percent: int) -> Column:
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar."""
-    sets = classes.select("class", "n", "prints")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = classes.where("prints is not null").select("class", "n", "prints").join(involved, "class", "left_semi").dropDuplicates(["class"])
     right = pairs.join(sets.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("prints").alias("prints_b")), "b")
     both = right.join(sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("prints").alias("prints_a")), "a").select("a", "b", "n_a", "n_b", "prints_a", "prints_b")
 
@@ -196,10 +197,10 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def linked_classes(classes: DataFrame, percent: int) -> DataFrame | None:
     """class, component, for classes that have links; None if there are no candidates."""
-    postings = settled(classes.where("prefix is not null").select("class", "n", F.explode("prefix").alias("p")).select("class", "n", F.col("p.gram").alias("gram"), F.col("p.at").alias("at")))
+    postings = settled(classes.where("prefix is not null").select("class", "n", F.explode("prefix").alias("p")).select("class", "n", F.col("p.gram").alias("gram"), F.col("p.at").alias("at")).distinct())
     labels, links, tested, last, open_ = None, None, None, None, postings
     for turn in range(ROUNDS + 1):
-        here = open_.withColumn("component", F.col("class")) if labels is None else open_.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        here = open_.withColumn("component", F.col("class")) if labels is None else settled(open_.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")))
         # Groups in several components, and how many of their pairs lie across
         tally = here.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("size"), ((F.pow(F.sum("m"), 2) - F.sum(F.pow("m", 2))) / 2).alias("across"))
         tally = settled(tally.where("parts > 1"))
@@ -221,8 +222,9 @@ def linked_classes(classes: DataFrame, percent: int) -> DataFrame | None:
         pairs = settled(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         new = settled(verified(pairs, classes, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        labels = components(links).select(F.col("node").alias("class"), "component")
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links).select(F.col("node").alias("class"), "component")
         if everything:
             break
     return labels
@@ -240,10 +242,10 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: s
     source = docs.select(F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))).alias("class"), quoted(text_col).alias("text"))
     classes = settled(shared_grams(source, n_buckets, n, percent))
     labels = linked_classes(classes, percent)
-    sizes = classes.select("class", "n")
+    sizes = classes.select("class", "n").distinct()
     sizes = sizes.withColumn("component", F.col("class")) if labels is None else sizes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     rows = docs.select(quoted(id_col).alias("id"), F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))).alias("class"))
-    placed = rows.groupBy("class").agg(F.min("id").alias("first")).join(sizes, "class")
+    placed = settled(rows.groupBy("class").agg(F.min("id").alias("first")).join(sizes, "class"))
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = placed.join(smallest, "component").select("class", "n", "component_id")
     return rows.join(by_class, "class").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
