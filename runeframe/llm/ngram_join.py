@@ -35,6 +35,8 @@ PRINT_BITS = 48
 BATCH, BATCH_DOCS = 1_000_000, 60_000
 #: Leaders of a group in a round; rounds with leaders, at most, before all open pairs are compared; ranges of prints that the suffix filter counts in.
 LEADERS, ROUNDS, RANGES = 8, 6, 32
+#: Pairs whose classes are broadcast (two numbers a pair); beyond, the join shuffles.
+FEW_PAIRS = 100_000
 
 
 def shared_grams(source: DataFrame, n_buckets: int, n: int, percent: int) -> DataFrame:
@@ -183,6 +185,8 @@ def _passes(percent: int) -> Column:
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    if pairs.count() <= FEW_PAIRS:  # then sets that no pair needs stay where they are
+        involved = F.broadcast(involved)
     sets = classes.where("prints is not null").select("class", "n", "prints").join(involved, "class", "left_semi").dropDuplicates(["class"])
     right = pairs.join(sets.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("prints").alias("prints_b")), "b")
     both = right.join(sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("prints").alias("prints_a")), "a").select("a", "b", "n_a", "n_b", "prints_a", "prints_b")
