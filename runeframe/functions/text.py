@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runeframe.plans.sizing import spread
+
 #: Code points of a piece. Offsets are found by walking from the start of a string, so pieces are cut twice: large, then small.
 LARGE, SMALL = 1 << 14, 256
 #: What stands for the end of a text where a symbol is asked for.
@@ -29,7 +31,7 @@ def cut(texts: DataFrame, width: int, overlap: int, id_col: str = "doc_id", text
 
 def pieces(texts: DataFrame, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start (long), piece: pieces of SMALL code points and overlap."""
-    large = cut(texts, LARGE, overlap, id_col, text_col)
+    large = cut(spread(texts.select(id_col, text_col)), LARGE, overlap, id_col, text_col)
     own = F.least(F.lit(LARGE), F.length("piece"))
     starts = F.sequence(F.lit(0), own - 1, F.lit(SMALL))
     small = large.select(id_col, "start", "piece", F.explode(starts).alias("inner"))

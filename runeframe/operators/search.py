@@ -32,15 +32,18 @@ def keys_at(text: Column, at: Column, levels: list[int]) -> Column:
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern_id, doc_id, pos for docs (doc_id, text) and patterns (pattern_id, pattern)."""
     wanted = patterns.where("pattern is not null").select("pattern_id", "pattern", F.length("pattern").alias("m"))
-    lengths = wanted.agg(F.max("m").alias("most"), F.count(F.when(F.col("m") == 0, 1)).alias("empty"), F.collect_set(F.when(F.col("m") > 0, level_of(F.col("m")))).alias("levels")).first()
+    lengths = wanted.agg(F.max("m").alias("most"), F.count(F.when(F.col("m") == 0, 1)).alias("empty"), F.collect_set(F.when(F.col("m") > 0, level_of(F.col("m")))).alias("levels"), F.max(F.col("m") > level_of(F.col("m"))).alias("longer")).first()
     found = None
     if lengths.levels:
         keyed = small_side(wanted.where("m > 0").withColumn("key", F.substring(F.col("pattern"), F.lit(1), level_of(F.col("m")))), "pattern")
-        cut = pieces(docs.select("doc_id", "text"), lengths.most - 1)
-        places = cut.select("doc_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.least(F.length("piece"), F.lit(SMALL)) - 1)).alias("at"))
-        each = places.select("doc_id", "start", "piece", "at", F.explode(keys_at(F.col("piece"), F.col("at"), sorted(lengths.levels))).alias("key"))
-        here = F.substring(F.col("piece"), F.col("at") + 1, F.col("m")) == F.col("pattern")
-        found = each.join(keyed, "key").where(here).select("pattern_id", "doc_id", (F.col("start") + F.col("at")).alias("pos"))
+        cut = pieces(docs.select("doc_id", "text"), max(lengths.levels) - 1)
+        keys = F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.length("piece"), F.lit(SMALL)) - 1), lambda at: F.transform(keys_at(F.col("piece"), at, sorted(lengths.levels)), lambda k: F.struct(at.alias("at"), k.alias("key")))))
+        each = cut.select("doc_id", "start", F.explode(keys).alias("x")).select("doc_id", (F.col("start") + F.col("x.at")).alias("pos"), F.col("x.key").alias("key"))
+        found = each.join(keyed, "key")
+        if lengths.longer:  # candidates are few by now; the texts decide
+            here = F.substring(F.col("text"), (F.col("pos") + 1).cast("int"), F.col("m")) == F.col("pattern")
+            found = found.join(docs.select("doc_id", "text"), "doc_id").where(here)
+        found = found.select("pattern_id", "doc_id", "pos")
     if lengths.empty:
         places = docs.where("text is not null").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"))).alias("pos"))
         everywhere = places.join(F.broadcast(wanted.where("m = 0").select("pattern_id").limit(1)))

@@ -13,3 +13,9 @@ def small_side(df: DataFrame, chars: str | None = None) -> DataFrame:
     """df, to be broadcast if it is counted to be small."""
     size = df.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.length(chars)) if chars else F.lit(0)).alias("c")).first()
     return F.broadcast(df) if size.n <= MOST_ROWS and (size.c or 0) <= MOST_CHARS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it comes in fewer pieces than there are cores, as a small file does; a large input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
