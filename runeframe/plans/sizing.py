@@ -18,4 +18,4 @@ def small_side(df: DataFrame, chars: str | None = None) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt to all cores if it comes in fewer pieces than there are cores, as a small file does; a large input stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
