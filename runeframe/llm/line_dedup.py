@@ -34,11 +34,12 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, *, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, *, ratio: float = RATIO, least_pages: int = LEAST_PAGES, same: Column | None = None) -> DataFrame:
     """One row for each input row: row (struct of its columns), n_lines, n_dropped, kept (array of lines, in order).
 
     A blank line is never dropped and stays as it is. A null or empty text has one empty line. Pages without host (null) form a host of
-    their own. A line counts once a page, however often it stands there; repeated rows are pages of their own. An empty table gives no rows.
+    their own. A line counts once a page, however often it stands there; repeated rows are pages of their own, unless same is given: then
+    rows of a host that agree in it count as one page, for its lines and for the pages of the host. An empty table gives no rows.
     Columns of the input stay inside row.
     """
     site, every = ["no_host", "host"], F.coalesce(lines, F.array(F.lit("")))
@@ -47,10 +48,13 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, *, ratio: fl
         name += "_"
     hosts = [F.coalesce(host.cast("string"), F.lit("")).alias("host"), host.isNull().alias("no_host")]
     hashed = F.transform(F.filter(every, lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x))
-    totals = pages.select(*hosts).groupBy(*site).agg(F.count(F.lit(1)).alias("pages"))
+    page = [] if same is None else [same.alias("page")]
+    once, found = pages.select(*hosts, *page), pages.select(*hosts, *page, F.explode(F.array_distinct(hashed)).alias("line"))
+    if page:
+        once, found = once.distinct(), found.distinct()
+    totals = once.groupBy(*site).agg(F.count(F.lit(1)).alias("pages"))
     common = (
-        pages.select(*hosts, F.explode(F.array_distinct(hashed)).alias("line"))
-        .groupBy(*site, "line")
+        found.groupBy(*site, "line")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= least_pages)  # before the join: most lines go here
         .join(totals, site)
@@ -69,8 +73,11 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, *, ratio: fl
 
 
 def without_boilerplate(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
-    """The rows of docs, with its columns, their text without the boilerplate lines of their source, and the length column adjusted."""
-    dropped = drop_boilerplate(docs, quoted(source_col), text_lines(quoted(text_col)), **options)
+    """The rows of docs, with its columns, their text without the boilerplate lines of their source, and the length column adjusted.
+
+    Copies of a text count as one page of their source: many copies alone don't make a document's own lines boilerplate.
+    """
+    dropped = drop_boilerplate(docs, quoted(source_col), text_lines(quoted(text_col)), same=F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))), **options)
     text = F.when(F.col("n_dropped") > 0, F.array_join("kept", "\n")).otherwise(F.col("row")[text_col])
     fresh = {text_col: text, chars_col: F.when(F.col("n_dropped") > 0, F.length(text).cast("long")).otherwise(F.col("row")[chars_col]) if chars_col in docs.columns else None}
     return dropped.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -44,3 +44,14 @@ def test_stages(spark, small, tmp_path):
     assert after.count() == before.count() and after.where("not decoded_equal").count() == 0
     assert corpus_pipeline.run(spark, small).count() == after.count()
     assert public_tokenizers.path(corpus_pipeline.VOCABULARY)
+
+
+def test_copies_leave_one(spark, tmp_path):
+    """A third of a source are copies of one clean text: its representative comes out, whole."""
+    clean = "The river runs past the old mill and the people of the village walk along it in the evening when the work of the day is done."
+    body = [(i, clean) for i in range(10)] + [(i, f"House {i} of the street {i * 7} was built by the family {i * 13} and it has the number {i * 31} on the door to the garden {i * 3}.") for i in range(10, 30)]
+    rows = [(i, t, "en", "web", len(t)) for i, t in body]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.text for r in line_dedup.without_boilerplate(spark.read.parquet(str(tmp_path / "documents.parquet"))).where("doc_id < 10").collect()} == {clean}
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert sorted(out) == [0, *range(10, 30)] and out[0].n_tokens > 20
