@@ -95,54 +95,85 @@ def stands_at(text: Column, pattern: Column, pos: Column) -> Column:
     return (F.length(pattern) > 0) & (pos >= 0) & (F.substring(text, pos.cast("int") + 1, F.length(pattern)) == pattern)
 
 
+def automaton(first: str) -> tuple[list[int], list[int], list[dict[str, int]]]:
+    """Links, sizes and steps of the automaton of all substrings of a text, read backwards."""
+    # Matches that end at each place of reversed texts are matches that start there in the texts.
+    link, size, follow, last = [-1], [0], [{}], 0
+    for c in reversed(first):
+        new = len(size)
+        link.append(0)
+        size.append(size[last] + 1)
+        follow.append({})
+        p = last
+        while p >= 0 and c not in follow[p]:
+            follow[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = follow[p][c]
+            if size[p] + 1 == size[q]:
+                link[new] = q
+            else:
+                twin = len(size)
+                link.append(link[q])
+                size.append(size[p] + 1)
+                follow.append(dict(follow[q]))
+                while p >= 0 and follow[p].get(c) == q:
+                    follow[p][c] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
+        last = new
+    return link, size, follow
+
+
+def longest_matches(known: tuple[list[int], list[int], list[dict[str, int]]], second: str) -> list[int]:
+    """For each place of second, the longest match from there on."""
+    link, size, follow = known
+    out, state, n = [], 0, 0
+    for c in reversed(second):
+        while state and c not in follow[state]:
+            state = link[state]
+            n = size[state]
+        if c in follow[state]:
+            state, n = follow[state][c], n + 1
+        out.append(n)
+    return out[::-1]
+
+
 def matching_statistics(pairs: DataFrame) -> DataFrame:
     """id, pos, length for pairs (id, first, second): the longest match of second from pos on that stands in first.
 
     The automaton of all substrings of first is walked along second, so a pair costs time in proportion to its texts.
     """
 
-    def lengths(first: str, second: str) -> list[int]:
-        # Matches that end at each place of reversed texts are matches that start there in the texts.
-        link, size, follow, last = [-1], [0], [{}], 0
-        for c in reversed(first):
-            new = len(size)
-            link.append(0)
-            size.append(size[last] + 1)
-            follow.append({})
-            p = last
-            while p >= 0 and c not in follow[p]:
-                follow[p][c] = new
-                p = link[p]
-            if p >= 0:
-                q = follow[p][c]
-                if size[p] + 1 == size[q]:
-                    link[new] = q
-                else:
-                    twin = len(size)
-                    link.append(link[q])
-                    size.append(size[p] + 1)
-                    follow.append(dict(follow[q]))
-                    while p >= 0 and follow[p].get(c) == q:
-                        follow[p][c] = twin
-                        p = link[p]
-                    link[q] = link[new] = twin
-            last = new
-        out, state, n = [], 0, 0
-        for c in reversed(second):
-            while state and c not in follow[state]:
-                state = link[state]
-                n = size[state]
-            if c in follow[state]:
-                state, n = follow[state][c], n + 1
-            out.append(n)
-        return out[::-1]
-
     def run(batches):
         for batch in batches:
             for key, first, second in zip(batch["id"], batch["first"], batch["second"], strict=True):
                 if second:
-                    found = lengths(first or "", second)
+                    found = longest_matches(automaton(first or ""), second)
                     yield pd.DataFrame({"id": key, "pos": np.arange(len(found)), "length": found})
 
     kind = pairs.schema["id"].dataType.simpleString()
     return pairs.select("id", "first", "second").mapInPandas(run, f"id {kind}, pos long, length long")
+
+
+#: Ends a pattern where several are read as one text; a text never matches it.
+APART = "\uffff"
+
+
+def matching_statistics_of_batch(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """doc_id, pos, length for docs (doc_id, text) and patterns (pattern_id, pattern): the longest match of a text from pos on that stands in any pattern.
+
+    Patterns are read to the driver and make one automaton in each task, so their total must fit there; texts are walked once.
+    """
+    joined = APART.join(r[0] for r in patterns.where("pattern is not null").select("pattern").distinct().collect())
+
+    def run(batches):
+        known = automaton(joined)
+        for batch in batches:
+            for key, text in zip(batch["doc_id"], batch["text"], strict=True):
+                if text:
+                    found = longest_matches(known, text.replace(APART, "\ufffe"))
+                    yield pd.DataFrame({"doc_id": key, "pos": np.arange(len(found)), "length": found})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, pos long, length long")

@@ -164,10 +164,9 @@ def parentheses(tree: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     A node opens after the nodes before it in preorder have opened and those that end before it have closed: preorder less its node depth are closed by then.
     """
-    named = preorder(numbered(tree, id_col), id_col)
+    named = postorder(preorder(numbered(tree, id_col), id_col), id_col)
     first = 2 * F.col("preorder") - F.col("node_depth")
-    inside = F.count(F.lit(1)).alias("inside")
-    below = named.select(id_col, F.col("lb").alias("low"), F.col("rb").alias("high"), F.col("node_depth").alias("deep"))
-    held = named.join(below, id_col).where("low >= lb and high <= rb and deep >= node_depth").groupBy(id_col, "node_id").agg(inside)
-    both = named.join(held, [id_col, "node_id"]).select(id_col, "node_id", F.explode(F.array(F.struct(first.alias("idx"), F.lit(1).alias("bit")), F.struct((first + 2 * F.col("inside") - 1).alias("idx"), F.lit(0).alias("bit")))).alias("x"))
+    # Nodes at or under a node: those that open after its ancestors and close up to it
+    inside = F.col("postorder") - F.col("preorder") + F.col("node_depth") + 1
+    both = named.select(id_col, "node_id", F.explode(F.array(F.struct(first.alias("idx"), F.lit(1).alias("bit")), F.struct((first + 2 * inside - 1).alias("idx"), F.lit(0).alias("bit")))).alias("x"))
     return both.select(id_col, F.col("x.idx").cast("long").alias("idx"), F.col("x.bit").cast("int").alias("bit"), "node_id")

@@ -79,11 +79,21 @@ def kgram_grid(spark, sf_dir):
     return mining.kgram_grid(turns(spark, sf_dir))
 
 
+@query
+def kgram_grid_documents(spark, sf_dir):
+    return mining.kgram_grid(documents(spark, sf_dir))
+
+
 @query
 def pattern_count(spark, sf_dir):
     return search.count(turns(spark, sf_dir), benchmark_words(spark, sf_dir))
 
 
+@query
+def pattern_count_documents(spark, sf_dir):
+    return search.count(documents(spark, sf_dir), benchmark_words(spark, sf_dir))
+
+
 @query
 def pattern_locate(spark, sf_dir):
     return search.locate(documents(spark, sf_dir), passages(spark, sf_dir))
@@ -131,6 +141,12 @@ def matching_stats(spark, sf_dir):
     return search.matching_statistics(pairs)
 
 
+@query
+def matching_stats_documents(spark, sf_dir):
+    """Each document against all benchmark passages."""
+    return search.matching_statistics_of_batch(documents(spark, sf_dir), passages(spark, sf_dir))
+
+
 @query
 def border_tables(spark, sf_dir):
     return names(spark, sf_dir).select("doc_id", F.posexplode(tx.border_table("text")).alias("p", "b")).select("doc_id", F.col("p").cast("long").alias("pos"), F.col("b").cast("long").alias("border"))
@@ -213,11 +229,21 @@ def bwt_and_lcp(spark, sf_dir):
     return suffixes.suffix_table(names(spark, sf_dir)).select("doc_id", "rank", "bwt", "lcp")
 
 
+@query
+def bwt_and_lcp_documents(spark, sf_dir):
+    return suffixes.suffix_table(documents(spark, sf_dir)).select("doc_id", "rank", "bwt", "lcp")
+
+
 @query
 def psi_and_lf(spark, sf_dir):
     return suffixes.psi_and_lf(suffixes.suffix_table(names(spark, sf_dir)))
 
 
+@query
+def psi_and_lf_documents(spark, sf_dir):
+    return suffixes.psi_and_lf(suffixes.suffix_table(documents(spark, sf_dir)))
+
+
 @query
 def psi_three_times(spark, sf_dir):
     return suffixes.shifted_rank(suffixes.suffix_table(names(spark, sf_dir)), 3)
@@ -388,6 +414,12 @@ def greedy_parse(spark, sf_dir):
     return blocks.factors(_parsed(spark, sf_dir)[1], fac_dens=2)
 
 
+@query
+def greedy_parse_documents(spark, sf_dir):
+    """Documents with over 8 symbols (no others can be parsed), in blocks of 8 suffixes."""
+    return blocks.factors(blocks.block_table(documents(spark, sf_dir).where("length(text) > 8"), 8, parse=True), fac_dens=2)
+
+
 @query
 def factor_positions(spark, sf_dir):
     return blocks.factor_of_position(_parsed(spark, sf_dir)[1])
@@ -427,6 +459,11 @@ def tree_nodes(spark, sf_dir):
     return tree.nodes(names(spark, sf_dir)).select("doc_id", "lb", "rb", "depth", "node_depth", "parent_lb", "parent_rb")
 
 
+@query
+def tree_nodes_documents(spark, sf_dir):
+    return tree.nodes(documents(spark, sf_dir)).select("doc_id", "lb", "rb", "depth", "node_depth", "parent_lb", "parent_rb")
+
+
 @query
 def tree_children(spark, sf_dir):
     n = names(spark, sf_dir)
@@ -482,6 +519,11 @@ def tree_parentheses(spark, sf_dir):
     return arrays.enclosing_pairs(p.select("doc_id", "idx", "bit"), ["doc_id"])
 
 
+@query
+def tree_parentheses_documents(spark, sf_dir):
+    return tree.parentheses(tree.nodes(documents(spark, sf_dir))).select("doc_id", "idx", "bit")
+
+
 # ---- sequences
 
 

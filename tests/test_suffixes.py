@@ -286,6 +286,11 @@ def test_parentheses_of_trees(spark):
         assert r.double_enclose == max(around, default=None) or r.j not in expected
 
 
+def test_parentheses_join_no_nodes_with_each_other(spark):
+    p = tree.parentheses(tree.nodes(texts(spark, ["mississippi"])))
+    assert "Join" not in p._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_index_of_symbols(figures):
     rows = {r.sym: (r.comp, r.freq, r.c_before) for r in suffixes.alphabet(symbols(figures)).collect()}
     letters = Counter("".join(FIGURES))

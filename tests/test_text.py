@@ -155,3 +155,11 @@ def test_borders_and_bits(spark):
     row = spark.range(1).select(tx.highest_bit(k), tx.nth_bit(k, F.lit(2)), tx.nth_bit(k, F.lit(4)), tx.next_bit(k, F.lit(3)), tx.previous_bit(k, F.lit(4)), tx.highest_bit(F.lit(0)), tx.encoded(F.lit("aé"))).first()
     assert tuple(row) == (5, 3, None, 5, 3, None, [97, 195, 169])
     assert spark.range(1).select(stats.bit_lcp(F.lit(2), F.lit(0b1100), F.lit(0b1001))).first()[0] == 8 * 2 + 7 - 2
+
+
+def test_matching_statistics_of_batch(spark):
+    patterns, texts = ["abcab", "bcd", "", None, "xy"], ["abcabcd", "zabz", "", None, "d\uffffa", "bcdabcab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.pos): r.length for r in search.matching_statistics_of_batch(docs, spark.createDataFrame(list(enumerate(patterns)), "pattern_id long, pattern string")).collect()}
+    expected = {(i, p): max(n for n in range(len(t) - p + 1) if any(t[p : p + n] in x for x in patterns if x is not None)) for i, t in enumerate(texts) if t for p in range(len(t))}
+    assert got == expected
