@@ -4,7 +4,7 @@ DataFrame functions only.
 A pattern's spans come from two passes of the same matcher: split() gives what lies between the matches,
 regexp_extract_all() the matches, and running sums of their lengths give offsets in code points. Both run only where a
 cheap test finds a character that every match needs. Patterns are written so that no text costs more than linear
-time: repetitions are possessive, and a match may start only where the run it would lie in starts, or where the previous match ended.
+time: repetitions are possessive or bounded, and a match may start only where the run it would lie in starts, or where the previous match ended.
 """
 
 from __future__ import annotations
@@ -20,13 +20,17 @@ from runeframe.llm.common import let, quoted
 
 @dataclass(frozen=True)
 class Kind:
-    """How a kind of personal data is found. needs: a cheap test that every text with a match passes."""
+    """How a kind of personal data is found. needs: a cheap test that every text with a match passes.
+
+    ahead: the pattern matches the beginning alone, and its first group looks ahead at all that may follow.
+    """
 
     name: str
     pattern: str
     needs: str
     score: float
     base: bool = True
+    ahead: bool = False
 
 
 #: In the order in which kinds are listed. Base kinds are reported whenever their check passes; others by score.
@@ -35,8 +39,13 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", ".", 0.7),
     Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++", "0-9", 0.8),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "0-9", 0.7, base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))", "0-9", 0.7, base=False, ahead=True),
 )
+#: Characters of a country's account numbers, without blanks.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: Words that raise a score where they stand within REACH characters of a span, and by how much.
 CONTEXT = {
     "email": "mail|contact|write|schreib",
@@ -65,6 +74,32 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(moved, F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)) == 1
 
 
+def account(head: Column, tail: Column) -> Column:
+    """The account number that begins with head: head and the blocks of tail that belong to it, null if no such is one.
+
+    It has the length of its country; where the country is not known, the longest that passes mod 97 is taken.
+    """
+    known = F.create_map(*[F.lit(x) for n, codes in IBAN_CHARS.items() for code in codes.split() for x in (code, n)])
+
+    def longest(blocks: Column) -> Column:
+        wholes = F.transform(F.sequence(F.lit(1), F.size(blocks)), lambda k: F.concat(head, F.array_join(F.slice(blocks, 1, k), " ")))
+
+        def passes(whole: Column) -> Column:
+            plain = F.regexp_replace(whole, " ", "")
+            fits = F.coalesce(F.length(plain) == F.try_element_at(known, F.substring(head, 1, 2)), F.length(plain) >= 15)
+            return F.when(fits, mod97(plain)).otherwise(F.lit(False))
+
+        return F.try_element_at(F.filter(wholes, passes), F.lit(-1))
+
+    return let(F.split(tail, " "), longest)
+
+
+def _apart(spans: Column) -> Column:
+    """Confirmed spans, without those that begin within the one before."""
+    kept = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    return F.aggregate(F.filter(spans, lambda s: s["match"].isNotNull()), kept, lambda out, s: F.when(F.coalesce(s["start"] < F.try_element_at(out, F.lit(-1))["end"], F.lit(False)), out).otherwise(F.concat(out, F.array(s))))
+
+
 def _confirmed(kind: str, match: Column) -> Column:
     digits = F.length(_digits(match))
     if kind == "ip":
@@ -75,8 +110,6 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.when(digits.between(13, 19), luhn(_digits(match))).otherwise(F.lit(False))
     if kind == "phone":
         return digits.between(9, 15)
-    if kind == "iban":
-        return mod97(F.regexp_replace(match, " ", ""))
     return F.lit(True)
 
 
@@ -97,7 +130,14 @@ def _spans(text: Column, kind: Kind) -> Column:
                 return F.struct(end.alias("at"), F.concat(so_far["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), hit["match"].alias("match")))).alias("out"))
 
             zipped = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-            return F.aggregate(zipped, start, add, lambda x: x["out"])
+            heads = F.aggregate(zipped, start, add, lambda x: x["out"])
+            if not kind.ahead:
+                return heads
+
+            def whole(s: Column, tail: Column) -> Column:
+                return let(account(s["match"], tail), lambda m: F.struct(s["start"].alias("start"), (s["start"] + F.length(m)).alias("end"), m.alias("match")))
+
+            return _apart(F.zip_with(heads, F.regexp_extract_all(t, pattern, F.lit(1)), whole))
 
         return let(F.struct(between.alias("gaps"), matches.alias("hits")), located)
 

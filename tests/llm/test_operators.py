@@ -87,6 +87,19 @@ def test_pii(spark, docs, texts):
     assert pii.find_pii(empty(spark)).count() == 0
 
 
+def test_pii_finds_ibans_before_anything(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    texts = {
+        f"{de} Bank": [de], f"{de} BIC COBADEFF": [de], f"{de} 5 items": [de], f"{no} A": [no], f"{de} {gb} {no} 12 X": [de, gb, no], f"AT20 {de} OK": [de], f"{de.replace(' ', '')} BIC": [de.replace(" ", "")],
+        f"{de}A BIC": [], "DE88 3704 0044 0532 0130 00 BIC": [], f"x{de}": [], "ZZ18 1234 5678 9012 34 AB": ["ZZ18 1234 5678 9012 34"], "AB12 " * 3000 + f"{de} Z": [de], "\U0001f600 " + de + " Z": [de],
+    }
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: r for r in pii.find_pii(frame).collect()}
+    for i, (text, expected) in enumerate(texts.items()):
+        spans = [s for s in got[i].spans if s.kind == "iban"]
+        assert [s.match for s in spans] == expected and all(text[s.start : s.end] == s.match for s in spans), text[-60:]
+
+
 def test_pii_scores_by_context(spark):
     frame = spark.createDataFrame([(1, "call +1 (743) 555-3824 now"), (2, "no. +1 (743) 555-3824 now")], "doc_id long, text string")
     scores = {r.id: r.spans[0].score for r in pii.find_pii(frame).collect()}
