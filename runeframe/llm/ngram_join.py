@@ -35,7 +35,7 @@ PRINT_BITS = 48
 BATCH, BATCH_DOCS = 1_000_000, 60_000
 #: Leaders of a group in a round; rounds with leaders, at most, before all open pairs are compared; ranges of prints that the suffix filter counts in.
 LEADERS, ROUNDS, RANGES = 8, 6, 32
-#: Pairs whose classes are broadcast (two numbers a pair); beyond, the join shuffles.
+#: Pairs whose classes, and rows whose ids and classes, are broadcast (two numbers each); beyond, the join shuffles.
 FEW_PAIRS = 100_000
 
 
@@ -242,21 +242,45 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: s
     repeated rows are linked. Null ids don't count as smallest; a component of null ids has component null. An empty table gives no rows.
     Other columns are not looked at.
     """
-    n_buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))).alias("class"), quoted(text_col).alias("text"))
-    classes = settled(shared_grams(source, n_buckets, n, percent))
-    labels = linked_classes(classes, percent)
-    sizes = classes.select("class", "n").distinct()
-    sizes = sizes.withColumn("component", F.col("class")) if labels is None else sizes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    rows = docs.select(quoted(id_col).alias("id"), F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))).alias("class"))
-    placed = settled(rows.groupBy("class").agg(F.min("id").alias("first")).join(sizes, "class"))
+    rows, placed = _placed(docs, n, percent, id_col, text_col)
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = placed.join(smallest, "component").select("class", "n", "component_id")
     return rows.join(by_class, "class").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, with its columns, less those whose component has a smaller id. Rows without words stay."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    gone = found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """id, class of every row; and class, first (its smallest id), n, component of every class."""
+    n_buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.select(_class(text_col).alias("class"), quoted(text_col).alias("text"))
+    classes = settled(shared_grams(source, n_buckets, n, percent))
+    labels = linked_classes(classes, percent)
+    sizes = classes.select("class", "n").distinct()
+    sizes = sizes.withColumn("component", F.col("class")) if labels is None else sizes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    rows = docs.select(quoted(id_col).alias("id"), _class(text_col).alias("class"))
+    return rows, settled(rows.groupBy("class").agg(F.min("id").alias("first")).join(sizes, "class"))
+
+
+def _class(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(quoted(text_col), F.lit("")))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """One row of docs, with its columns, for each component: that of the smallest id (null last), of its texts one, of repeated rows one. Rows without words stay."""
+    rows, placed = _placed(docs, n, percent, id_col, text_col)
+    best = placed.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), F.col("first"), F.col("class"))).alias("best"))
+    stays = placed.where("n > 0").join(best, "component").select("class", "first", (F.col("best.class") == F.col("class")).alias("chosen"))
+    tallied = rows.groupBy("class", "id").agg(F.count(F.lit(1)).alias("m")).join(stays, "class")
+    # What doesn't stay as it is: rows that go, and the chosen one where it is repeated
+    marked = settled(tallied.withColumn("chosen", F.col("chosen") & F.col("id").eqNullSafe(F.col("first"))).where("not chosen or m > 1").select("class", "id", "chosen"))
+    few = marked.count() <= FEW_PAIRS  # then texts stay where they are
+
+    def those(marks: DataFrame, how: str) -> DataFrame:
+        marks = marks.select(F.col("class").alias("mark"), F.col("id").alias("mark_id"))
+        marks = F.broadcast(marks) if few else marks
+        keyed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("id"), _class(text_col).alias("class"))
+        return keyed.join(marks, (F.col("class") == F.col("mark")) & F.col("id").eqNullSafe(F.col("mark_id")), how)
+
+    kept, repeated = those(marked, "left_anti").select("row.*"), marked.where("chosen")
+    if repeated.limit(1).count():
+        kept = kept.unionByName(those(repeated, "left_semi").dropDuplicates(["class", "id"]).select("row.*"))
+    return kept

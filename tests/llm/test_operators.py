@@ -143,6 +143,15 @@ def test_ngram_join_of_nothing(spark):
     assert {r.component_id for r in ngram_join.near_duplicates(repeated).collect()} == {3}
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    same, other, near = "a b c d e", "p q r s t", " ".join(f"w{i}" for i in range(80))
+    rows = [(3, same, 1), (3, same, 1), (None, same, 1), (7, same, 1), (7, other, 2), (None, "k l m n o", 3), (None, "k l m n o", 3), (3, near, 4), (5, near + " x", 4), (5, other + " u v w", 5), (9, "", 6), (9, "", 6), (None, None, 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, class int")
+    kept = ngram_join.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(3, same, 1), (7, other, 2), (None, "k l m n o", 3), (3, near, 4), (5, other + " u v w", 5), (9, "", 6), (9, "", 6), (None, None, 6)]))
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 100), (300, 300)] + [(rnd.randint(400, 420), rnd.randint(400, 420)) for _ in range(15)]
