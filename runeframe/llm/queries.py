@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runeframe.llm import bpe, line_dedup, mixing, ngram_join, pii, quality, sharding, substring_dedup, token_counts, topk
-from runeframe.llm.common import checkpoint_dir, n_words, table
+from runeframe.llm.common import checkpoint_dir, n_words, settled, table
 from runeframe.llm.oracle import ORACLE
 
 
@@ -71,16 +71,21 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three commits over all documents, of which the second arrives twice: every document inserted with its words; documents under 10
-    words deleted; the others revised to a second version, which counts runs of letters and digits and single other characters."""
+    """Totals after three commits over all documents, of which the second arrives twice: every document inserted with its byte-level BPE tokens; documents
+    under 10 words deleted; the others revised to a second version, which counts runs of letters and digits and single other characters."""
+    import public_tokenizers
+
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    first, second = n_words(text), F.regexp_count(text, F.lit(token_counts.PIECE))
+    key = F.struct("source", "lang", n_words(text).alias("words"), F.regexp_count(text, F.lit(token_counts.PIECE)).alias("pieces")).alias("key")
+    coded = bpe.encode_documents(docs.select(key, "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, id_col="key", decode=False)
+    counted = settled(coded.select("id.*", F.size("ids").cast("long").alias("tokens")))  # narrow rows: texts are encoded once for all commits
+    first, second, short = F.col("tokens"), F.col("pieces"), F.col("words") < 10
     rollup = token_counts.TokenRollup(spark, f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    rollup.commit("insert", token_counts.inserted(docs, "words-1", first))
-    rollup.commit("short", token_counts.deleted(docs.where(first < 10), "words-1", first))
-    rollup.commit("short", token_counts.deleted(docs.where(first < 10), "words-1", first))
-    rollup.commit("recount", token_counts.revised(docs.where(first >= 10), ("words-1", first), ("pieces-2", second)))
+    rollup.commit("insert", token_counts.inserted(counted, "bpe-1", first))
+    rollup.commit("short", token_counts.deleted(counted.where(short), "bpe-1", first))
+    rollup.commit("short", token_counts.deleted(counted.where(short), "bpe-1", first))
+    rollup.commit("recount", token_counts.revised(counted.where(~short), ("bpe-1", first), ("pieces-2", second)))
     return rollup.totals()
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runeframe.llm import bpe, components, hashing, line_dedup, mixing, ngram_join, pii, quality, sharding, substring_dedup, token_counts, topk
+from runeframe.llm import bpe, components, hashing, line_dedup, mixing, ngram_join, pii, quality, queries, sharding, substring_dedup, token_counts, topk
 from runeframe.llm.common import n_words
 from tests.llm import brute
 
@@ -247,6 +247,17 @@ def test_token_counts(spark, docs, tmp_path):
     assert rollup.committed() == ["a", "b", "c"]
 
 
+def test_token_counts_of_the_query_are_tokens(spark, small, monkeypatch):
+    commits, commit = [], token_counts.TokenRollup.commit
+    monkeypatch.setattr(token_counts.TokenRollup, "commit", lambda self, batch, *deltas: (commits.append((batch, deltas[0])), commit(self, batch, *deltas))[1])
+    found = queries.op10_token_counts(spark, small)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    tokens = bpe.encode_documents(docs, VOCABULARY, public_tokenizers.PATTERN).agg(F.sum(F.size("ids"))).first()[0]
+    inserted = dict(commits[:1])["insert"]
+    assert inserted.agg(F.sum("tokens"), F.sum("docs")).first() == (tokens, docs.count())
+    assert {r.version for r in found.collect()} == {"pieces-2"}
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, v string")
 
