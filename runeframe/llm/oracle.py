@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from runeframe.llm.line_dedup import BLOCK_END, HOST, LEAST_PAGES, RATIO
+from runeframe.llm.line_dedup import BLOCK_END, HOST, RATIO
 from runeframe.llm.mixing import EPOCHS, SHARE, WEIGHTS
-from runeframe.llm.quality import RULES, STOP_WORDS, STOP_WORDS_FROM
+from runeframe.llm.quality import RULES, STOP_WORDS
 from runeframe.llm.token_counts import PIECE
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,12 +25,12 @@ RULE_SQL = {
     "shouted_per_word": "shouted / nullif(n_words, 0)",
     "bar_per_word": "bars / nullif(n_words, 0)",
     "dup_line_ratio": "n_dup_lines / nullif(n_lines, 0)",
-    "stop_words": "stop_words",
+    "stop_ratio": "n_stop / nullif(n_words, 0)",
 }
 
 
 def rules() -> str:
-    tests = [f"coalesce({RULE_SQL[name]} {sign} {limit}, true)" for name, least, most in RULES for sign, limit in ((">=", least), ("<=", most)) if limit is not None]
+    tests = [f"coalesce(n_words < {words} OR {RULE_SQL[name]} {sign} {limit}, true)" for name, least, most, words in RULES for sign, limit in ((">=", least), ("<=", most)) if limit is not None]
     return " AND ".join(tests)
 
 
@@ -59,14 +59,14 @@ SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
 r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + j AS at FROM g CROSS JOIN range(0, 5) AS t(j) WHERE c > 1) GROUP BY ALL),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(coalesce(text, ''), '[|]')) AS bars,
 len(list_filter(w, lambda x: x LIKE '%!!')) AS shouted, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines,
-len(w) < {STOP_WORDS_FROM} OR list_has_any(list_transform(w, lambda x: lower(x)), [{", ".join(f"'{x}'" for x in STOP_WORDS)}]) AS has_stop FROM ws),
-x AS (SELECT doc_id, n_words, word_chars, n_symbols, bars, shouted, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, has_stop::INT AS stop_words, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN r USING (doc_id)),
+len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) AS n_stop FROM ws),
+x AS (SELECT doc_id, n_words, word_chars, n_symbols, bars, shouted, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_stop, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN r USING (doc_id)),
 y AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules()} AS kept FROM y""",
     "op7_line_dedup": f"""WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host, string_split(regexp_replace(coalesce(html, ''), '{BLOCK_END}', '\\1' || chr(10), 'g'), chr(10)) AS lines FROM pages),
 h AS (SELECT host, count(*) AS pages FROM p GROUP BY ALL),
 n AS (SELECT host, line, count(*) AS n FROM (SELECT DISTINCT page_id, host, unnest(lines) AS line FROM p) WHERE trim(line, ' ') <> '' GROUP BY ALL),
-b AS (SELECT n.host, list(line) AS gone FROM n JOIN h ON n.host IS NOT DISTINCT FROM h.host WHERE n >= {LEAST_PAGES} AND n > {RATIO}::DOUBLE * pages GROUP BY ALL),
+b AS (SELECT n.host, list(line) AS gone FROM n JOIN h ON n.host IS NOT DISTINCT FROM h.host WHERE n > 1 AND n > {RATIO}::DOUBLE * pages GROUP BY ALL),
 k AS (SELECT page_id, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept FROM p LEFT JOIN b ON p.host IS NOT DISTINCT FROM b.host)
 SELECT page_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k""",
     "op8_substring_dedup": f"""WITH {WORDS}, win AS (SELECT doc_id, i, {joined_words(20)} AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 19, 0))) AS i FROM ws)),

@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 from runeframe.llm.common import let, quoted, words
 
-#: (measure, least, most); None: no bound. Texts are kept that stay within all.
-RULES: tuple[tuple[str, float | None, float | None], ...] = (
-    ("n_words", 10, None),
-    ("repeat_ratio", None, 0.20),
-    ("mean_word_chars", 1.5, 25.0),
-    ("symbols_per_word", None, 0.30),
-    ("shouted_per_word", None, 0.50),
-    ("bar_per_word", None, 0.30),
-    ("dup_line_ratio", None, 0.60),
-    ("stop_words", 1, None),
+#: (measure, least, most, words): texts of so many words or more must stay within the bounds; None: no bound. Texts are kept that pass all rules.
+RULES: tuple[tuple[str, float | None, float | None, int], ...] = (
+    ("n_words", 10, None, 0),
+    ("repeat_ratio", None, 0.20, 0),
+    ("mean_word_chars", 1.5, 25.0, 0),
+    ("symbols_per_word", None, 0.30, 0),
+    ("shouted_per_word", None, 0.50, 0),
+    ("bar_per_word", None, 0.30, 0),
+    ("dup_line_ratio", None, 0.60, 0),
+    ("stop_ratio", 0.02, None, 30),
 )
 #: Words so common in their language that running text of some length holds one.
 STOP_WORDS = (
@@ -30,8 +30,6 @@ STOP_WORDS = (
     "als auch auf das dem den der die ein eine er es für im ist mit nicht sie sind und von zu "
     "al como con del el los las lo más no para pero por se su una y"
 ).split()
-#: Texts under so many words need no stop word.
-STOP_WORDS_FROM = 30
 WINDOW = 5
 
 
@@ -65,7 +63,7 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.when(F.size(w) <= WINDOW, F.lit(0).cast("long")).otherwise(let(grams, lambda g: repeated_words(F.size(w), g))).alias("n_repeat_words"),
-            F.when(F.size(w) < STOP_WORDS_FROM, 1).otherwise(F.arrays_overlap(F.transform(w, F.lower), F.array(*[F.lit(x) for x in STOP_WORDS])).cast("int")).alias("stop_words"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).alias("n_stop"),
         )
 
     lines = lambda: F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -89,17 +87,16 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.try_divide(F.col("n_bars"), F.col("w.n_words")).alias("bar_per_word"),
         F.try_divide(F.col("n_shouted"), F.col("w.n_words")).alias("shouted_per_word"),
         F.try_divide(F.col("lines.dup"), F.col("lines.n")).alias("dup_line_ratio"),
+        F.try_divide(F.col("w.n_stop"), F.col("w.n_words")).alias("stop_ratio"),
     )
 
 
 def verdict(rules=RULES) -> Column:
-    """True where all measures lie within their bounds; a measure that can't be taken (no words) passes."""
+    """True where all measures lie within the bounds of the rules that hold for so many words; a measure that can't be taken (no words) passes."""
     passed = F.lit(True)
-    for name, least, most in rules:
-        if least is not None:
-            passed = passed & F.coalesce(F.col(name) >= least, F.lit(True))
-        if most is not None:
-            passed = passed & F.coalesce(F.col(name) <= most, F.lit(True))
+    for name, least, most, words_ in rules:
+        for test in ([F.col(name) >= least] if least is not None else []) + ([F.col(name) <= most] if most is not None else []):
+            passed = passed & F.coalesce((F.col("n_words") < words_) | test, F.lit(True))
     return passed
 
 
@@ -114,5 +111,5 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the rules keep, with its columns."""
+    """The rows of docs that the rules keep, with its columns, whatever their names. Repeated rows stay repeated; null and empty texts go; an empty table gives no rows."""
     return quality_rules(docs, carry=True, **options).where("kept").select("row.*")

@@ -125,9 +125,10 @@ def repeats(rows, window=20):
     return out
 
 
-def boilerplate(rows, ratio, least):
-    """For each (host, lines): the lines that stay."""
-    pages, count = collections.Counter(h for h, _ in rows), collections.Counter((h, x) for h, lines in rows for x in set(lines) if x.strip(" "))
+def boilerplate(rows, ratio, least=2, once=False):
+    """For each (host, lines): the lines that stay. once: rows that agree in both count as one page."""
+    counted = set((h, tuple(lines)) for h, lines in rows) if once else rows
+    pages, count = collections.Counter(h for h, _ in counted), collections.Counter((h, x) for h, lines in counted for x in set(lines) if x.strip(" "))
     return [[x for x in lines if not x.strip(" ") or not (count[h, x] >= least and count[h, x] > ratio * pages[h])] for h, lines in rows]
 
 

@@ -190,15 +190,22 @@ def test_substring_dedup_of_repeated_and_unnamed_rows(spark):
     assert sorted((str(r.id), r.n_removed) for r in substring_dedup.remove_repeats(frame).collect()) == [("1", 0), ("1", 0), ("2", 25), ("None", 25)]
 
 
-def test_line_dedup(spark, docs):
+@pytest.mark.parametrize("few, salt", [(10**6, 10**6), (0, 10**6), (0, 3)])
+def test_line_dedup(spark, docs, monkeypatch, few, salt):
+    monkeypatch.setattr(line_dedup, "FEW_LINES", few)
+    monkeypatch.setattr(line_dedup, "PAGES_A_SALT", salt)
     extra = [(2000 + i, f"Top of the page\n\n own {i}\nTop of the page\nrare {i % 3}", "en", "site", 1, None, None, None, None, None, None) for i in range(12)]
     frame = docs.unionByName(spark.createDataFrame(extra, brute.SCHEMA))
     rows = [(r[3], (r[1] or "").split("\n")) for r in [*brute.odd_rows(), *extra]]
-    for ratio, least in ((0.06, 5), (0.5, 2), (0.0, 1)):
-        got = collections.Counter(tuple(r.kept) for r in line_dedup.drop_boilerplate(frame, F.col("source"), line_dedup.text_lines(F.col("text")), ratio=ratio, least_pages=least).collect())
-        assert got == collections.Counter(map(tuple, brute.boilerplate(rows, ratio, least)))
+    for ratio in (0.06, 0.5, 0.0):
+        got = collections.Counter(tuple(r.kept) for r in line_dedup.drop_boilerplate(frame, F.col("source"), line_dedup.text_lines(F.col("text")), ratio=ratio).collect())
+        assert got == collections.Counter(map(tuple, brute.boilerplate(rows, ratio)))
     kept = line_dedup.without_boilerplate(frame)
+    clash = frame.withColumnRenamed("words", "boilerplate").withColumnRenamed("key", "salt").withColumnRenamed("a.b", "host")
+    assert line_dedup.without_boilerplate(clash).where("boilerplate = 'w' and salt = 'k' and host = 'dot'").count() == frame.where("words = 'w'").count()
     assert kept.columns == frame.columns and kept.where("doc_id = 2001").first().text == "\n own 1\nrare 1"
+    small = spark.createDataFrame([(i, f"Menu\nown {i}", "s") for i in range(2)] + [(9, "Menu", "one page")], "doc_id long, text string, source string")
+    assert sorted(r.text for r in line_dedup.without_boilerplate(small).collect()) == ["Menu", "own 0", "own 1"]
     assert line_dedup.without_boilerplate(empty(spark)).count() == 0
     hosts = spark.createDataFrame([("HTTP://A.b:80/x",), ("ftp://c?d",), ("nothing",), (None,)], "url string").select(line_dedup.host_of(F.col("url")))
     assert [r[0] for r in hosts.collect()] == ["a.b", "c", None, None]

@@ -24,7 +24,7 @@ def test_stages(spark, small, tmp_path):
 
     before, after = kept[1]
     rows = before.collect()
-    lines = brute.boilerplate([(r.source, r.text.split("\n")) for r in rows], line_dedup.RATIO, line_dedup.LEAST_PAGES)
+    lines = brute.boilerplate([(r.source, r.text.split("\n")) for r in rows], corpus_pipeline.LINE_RATIO, once=True)
     assert {r.doc_id: r.text for r in after.collect()} == {r.doc_id: "\n".join(x) for r, x in zip(rows, lines, strict=True)}
 
     before, after = kept[2]
