@@ -13,6 +13,9 @@ from runeframe.llm.common import checkpoint_dir, table
 
 #: Near duplicates: words of a shingle, and per cent of the union that two documents must share.
 SHINGLE, SIMILAR = 5, 80
+#: Share of a source's texts that makes a line boilerplate. A source isn't a site, whose pages nearly all hold its lines: licence and disclaimer lines
+#: stand in a tenth of its texts, lines that meet by chance in less than a twentieth.
+LINE_RATIO = 0.06
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -23,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that are boilerplate of its source; n_chars follows the text."""
-    return line_dedup.without_boilerplate(docs)
+    return line_dedup.without_boilerplate(docs, ratio=LINE_RATIO)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
