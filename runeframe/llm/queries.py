@@ -32,7 +32,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), lambda x: x == name)).cast("long").alias(f"n_{name}") for name in ("email", "ip", "card", "phone")]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.array_max(F.transform("spans", lambda s: s["score"])).cast("long").alias("top_score"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

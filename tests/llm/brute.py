@@ -56,6 +56,24 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, epochs=2):
     return out
 
 
+def shards(rows, n):
+    """(id, size, checksum, shard, slot) by id: ranks in the order of keys within each source, fractions of them, one order cut in n parts."""
+    def key(r):
+        return hashlib.md5(f"0\x01{r[0]}".encode()).hexdigest()
+
+    placed = []
+    for source in {r[3] for r in rows}:
+        mine = sorted((r for r in rows if r[3] == source), key=lambda r: (key(r), r[0]))
+        placed += [((i + 0.5) / len(mine), source is None, (source or "").encode(), r) for i, r in enumerate(mine)]
+    placed.sort(key=lambda p: p[:3])
+    out, slots = [], collections.Counter()
+    for nth, (_, _, _, r) in enumerate(placed):
+        shard = nth * n // len(placed)
+        out.append((r[0], len((r[1] or "").encode()) + 16, crc(r[1]), shard, slots[shard]))
+        slots[shard] += 1
+    return sorted(out)
+
+
 def luhn(digits):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 

@@ -1,6 +1,7 @@
 """Operators against plain versions, over rows with everything that is odd and over empty tables."""
 
 import collections
+import itertools
 import random
 import re
 
@@ -62,13 +63,10 @@ def test_targets_are_those_of_the_rounds(spark):
 
 def test_sharding(spark, docs, texts, tmp_path):
     for n in (1, 5, 40):
-        rows = sharding.stratified_shards(docs, n, carry=[]).collect()
-        slots = collections.defaultdict(list)
-        for r in rows:
-            slots[r.shard].append(r.slot)
-            assert r.size == len((texts[r.id] or "").encode()) + 16 and r.text_crc32 == brute.crc(texts[r.id])
-        counts = [len(slots[s]) for s in range(n)]
-        assert sum(counts) == len(texts) and max(counts) - min(counts) <= 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        got = sorted(((r.id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.stratified_shards(docs, n, carry=[]).collect()), key=lambda r: r[0])
+        assert got == brute.shards(brute.odd_rows(), n)
+        counts = collections.Counter(r[3] for r in got)
+        assert max(counts[s] for s in range(n)) - min(counts[s] for s in range(n)) <= 1
     mix = collections.Counter((r.shard, r.row.source) for r in sharding.stratified_shards(docs, 2).collect())
     assert all(abs(mix[0, s] - mix[1, s]) <= 1 for s in (None, "s1", "s2", "s\U0001f600", ""))
     assert sharding.stratified_shards(empty(spark), 4).count() == 0
@@ -101,9 +99,30 @@ def test_pii_finds_ibans_before_anything(spark):
 
 
 def test_pii_scores_by_context(spark):
-    frame = spark.createDataFrame([(1, "call +1 (743) 555-3824 now"), (2, "no. +1 (743) 555-3824 now")], "doc_id long, text string")
-    scores = {r.id: r.spans[0].score for r in pii.find_pii(frame).collect()}
-    assert scores[1] > scores[2]
+    texts = {
+        "call +1 (743) 555-3824 now": {"phone": 90}, "no. +1 (743) 555-3824 now": {"phone": 60}, "e.g. the sample +1 (743) 555-3824": {"phone": 40},
+        "SSN: 536-90-4399.": {"ssn": 70}, "part no. 536-90-4399": {}, "SSN 666-90-4399, 536-00-4399, 536-90-0000": {}, "example SSN: 536-90-4399": {},
+        "She was born on 1984-02-29 in Spring": {"birth": 60}, "released on 1984-02-29": {}, "born 1984-13-01": {},
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x': {"secret": 70}, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962": {}, "my password hunter2hunter2hunter2": {"secret": 70}, "the key internationalizationally": {},
+        "a sample account DE89370400440532013000": {"iban": 80}, "sample DE89370400440532013000": {}, "pay DE89370400440532013000": {"iban": 70},
+    }
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: {s.kind: s.score for s in r.spans} for r in pii.find_pii(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_running_sums(spark):
+    rnd = random.Random(7)
+    lists = [[rnd.randint(0, 9) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 128, 1000)]
+    frame = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    sums, tops = zip(*frame.select(pii.running(F.col("x"), lambda a, b: a + b), pii.running(F.col("x"), lambda a, b: F.greatest(a, b))).collect(), strict=True)
+    assert [list(x) for x in sums] == [list(itertools.accumulate(x)) for x in lists] and [list(x) for x in tops] == [list(itertools.accumulate(x, max)) for x in lists]
+
+
+def test_masking_overlaps(spark):
+    frame = spark.createDataFrame([(1, "mail a@10.0.0.1.example.org and b@c.de"), (2, "x" * 3 + " 1.2.3.4 " * 200), (3, None)], "doc_id long, text string")
+    got = {r.id: r.masked for r in pii.masked(pii.find_pii(frame)).collect()}
+    assert got == {1: "mail [email] and [email]", 2: "xxx" + " [ip] " * 200, 3: ""}
 
 
 def test_quality(spark, docs, texts):
