@@ -254,23 +254,55 @@ def test_chunks_meet_where_one_pass_would_cut():
         assert sum(bpe.pretokens(find_all, text, chunk=rnd.randint(20, 60), overlap=rnd.randint(1, 15)), []) == find_all(text)
 
 
-def test_token_counts(spark, docs, tmp_path):
+@pytest.mark.parametrize("fold_after", [2, 100])
+def test_token_counts(spark, docs, tmp_path, monkeypatch, fold_after):
+    monkeypatch.setattr(token_counts, "FOLD_AFTER", fold_after)
     rollup = token_counts.TokenRollup(spark, str(tmp_path / "rollup"))
-    assert rollup.totals().count() == 0
+    assert rollup.totals().count() == 0 and rollup.committed().count() == 0
     n, double = n_words(F.col("text")), n_words(F.col("text")) * 2
-    rollup.commit("a", token_counts.inserted(docs, "v1", n))
+    assert rollup.commit("a/b=c d", token_counts.inserted(docs, "v1", n))
     once = sorted(map(str, rollup.totals().collect()))
-    rollup.commit("a", token_counts.inserted(docs, "v1", n))
+    assert not rollup.commit("a/b=c d", token_counts.inserted(docs, "v1", n))
     assert sorted(map(str, rollup.totals().collect())) == once
-    rollup.commit("b", token_counts.deleted(docs.where("doc_id >= 100"), "v1", n), token_counts.revised(docs.where("doc_id < 100"), ("v1", n), ("v2", double)))
-    rollup.commit("c", token_counts.inserted(empty(spark), "v3", n))
+    assert rollup.commit("b", token_counts.deleted(docs.where("doc_id >= 100"), "v1", n), token_counts.revised(docs.where("doc_id < 100"), ("v1", n), ("v2", double)))
+    assert rollup.commit("", token_counts.inserted(empty(spark), "v3", n)) and not rollup.commit("a/b=c d", token_counts.inserted(docs, "v1", n))
     expected = collections.defaultdict(lambda: [0, 0])
     for r in brute.odd_rows():
         if r[0] < 100:
             expected[r[3], r[2], "v2"][0] += 1
             expected[r[3], r[2], "v2"][1] += 2 * len(brute.words(r[1]))
-    assert {(r.source, r.lang, r.version): [r.docs, r.tokens] for r in rollup.totals().collect()} == dict(expected)
-    assert rollup.committed() == ["a", "b", "c"]
+    for _ in range(2):
+        assert {(r.source, r.lang, r.version): [r.docs, r.tokens] for r in rollup.totals().collect()} == dict(expected)
+        assert sorted(r[0] for r in rollup.committed().collect()) == ["", "a/b=c d", "b"]
+        rollup.fold()
+        rollup.clean()
+    assert len(list((tmp_path / "rollup" / "data").iterdir())) == 2
+    assert rollup.delete() and rollup.totals().count() == 0
+
+
+def test_token_counts_after_commits_that_died(spark, docs, tmp_path, monkeypatch):
+    rollup, n = token_counts.TokenRollup(spark, str(tmp_path / "rollup")), F.lit(3)
+    rollup.commit("a", token_counts.inserted(docs, "v", n))
+    before = sorted(map(str, rollup.totals().collect()))
+    with monkeypatch.context() as m:  # dies with its data written and its manifest not
+        m.setattr(token_counts.TokenRollup, "_publish", lambda self, number, state: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            rollup.commit("b", token_counts.inserted(docs, "v", n))
+    assert sorted(map(str, rollup.totals().collect())) == before
+    (tmp_path / "rollup" / "manifests" / "2").write_text('{"snapshot": nu')  # dies within its manifest
+    assert sorted(map(str, rollup.totals().collect())) == before
+    assert rollup.commit("b", token_counts.inserted(docs, "v", n)) and rollup.totals().agg(F.sum("docs")).first()[0] == 2 * docs.count()
+    publish = token_counts.TokenRollup._publish
+
+    def late(self, number, state):  # another writer comes first
+        monkeypatch.setattr(token_counts.TokenRollup, "_publish", publish)
+        token_counts.TokenRollup(spark, str(tmp_path / "rollup")).commit("d", token_counts.inserted(docs, "v", n))
+        return publish(self, number, state)
+
+    monkeypatch.setattr(token_counts.TokenRollup, "_publish", late)
+    assert rollup.commit("c", token_counts.inserted(docs, "v", n)) and rollup.totals().agg(F.sum("docs")).first()[0] == 4 * docs.count()
+    rollup.clean()
+    assert len(list((tmp_path / "rollup" / "data").iterdir())) == 4
 
 
 def test_token_counts_of_the_query_are_tokens(spark, small, monkeypatch):
