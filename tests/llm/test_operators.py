@@ -230,7 +230,7 @@ def test_line_dedup(spark, docs, monkeypatch, few, salt):
     assert [r[0] for r in hosts.collect()] == ["a.b", "c", None, None]
 
 
-def test_bpe(spark, docs, texts):
+def test_bpe(spark, docs, texts, monkeypatch):
     import base64
 
     import tiktoken
@@ -242,16 +242,24 @@ def test_bpe(spark, docs, texts):
         assert r.ids == library.encode_ordinary(texts[r.id] or "") and bytes(r.decoded).decode() == (texts[r.id] or "")
     back = bpe.decode_documents(coded, VOCABULARY, public_tokenizers.PATTERN)
     assert all(bytes(r.decoded).decode() == (texts[r.id] or "") for r in back.collect())
-    assert bpe.encode_documents(empty(spark), VOCABULARY, public_tokenizers.PATTERN).count() == 0
-
-
-def test_chunks_meet_where_one_pass_would_cut():
-    import regex
-
-    find_all, rnd = regex.compile(public_tokenizers.PATTERN).findall, random.Random(1)
-    for _ in range(500):
-        text = "".join(rnd.choice(["a", "b", " ", "  ", "\n", "'s", "'", "1", "é", "!", " x", "a" * 40, " " * 40]) for _ in range(rnd.randint(0, 200)))
-        assert sum(bpe.pretokens(find_all, text, chunk=rnd.randint(20, 60), overlap=rnd.randint(1, 15)), []) == find_all(text)
+    assert bpe.encode_documents(empty(spark), VOCABULARY, public_tokenizers.PATTERN).count() == 0 and bpe.decode_documents(coded.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
+    for bad in (-1, 10**6):
+        with pytest.raises(Exception, match="not in the vocabulary"):
+            bpe.decode_documents(spark.createDataFrame([(1, [bad])], "id long, ids array<int>"), VOCABULARY, public_tokenizers.PATTERN).collect()
+
+    # Long texts of all sorts, some repeated, in chunks so small that each has many; runs longer than an overlap among them
+    monkeypatch.setattr(bpe, "CHUNK", 40)
+    monkeypatch.setattr(bpe, "OVERLAP", 12)
+    monkeypatch.setattr(bpe, "AT_ONCE", 3)
+    rnd, long = random.Random(1), {}
+    for i in range(300):
+        odd = ["a" * 30, " " * 30] if i % 3 == 0 else []
+        long[i] = "".join(rnd.choice(["a", "b", " ", "  ", "\n", "'s", "'", "1", "é", "!", " x", "😀", *odd]) for _ in range(rnd.randint(0, 400)))
+    rows = [(i, t, None) for i, t in long.items()] + [(None, long[7], None), (5, long[5], None), (5, long[5], None), (8, long[9], None), (400, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    got = bpe.encode_documents(frame, VOCABULARY, public_tokenizers.PATTERN).collect()
+    expected = [(key, tuple(library.encode_ordinary(t or "")), (t or "").encode()) for key, t, _ in rows]
+    assert sorted(map(str, ((r.id, tuple(r.ids), bytes(r.decoded)) for r in got))) == sorted(map(str, expected))
 
 
 @pytest.mark.parametrize("fold_after", [2, 100])
