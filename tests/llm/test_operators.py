@@ -335,6 +335,7 @@ def test_topk(spark, monkeypatch):
     centres = rnd.normal(size=(5, 12))
     x = np.floor(256 * (centres[rnd.integers(0, 5, 400)] + 0.05 * rnd.normal(size=(400, 12))).astype("f4").astype("f8"))
     x[100:180] = x[100]  # one very common vector
+    x[300:] = np.floor(256 * rnd.normal(size=(100, 12)))
     rows = [(i, (v / 256).tolist(), 0, "x") for i, v in enumerate(x)]
     odd = [(1000, None, 1, None), (1001, [1.0, None] * 6, 1, None), (1002, [float("nan")] * 12, 1, None), (1003, [], 1, None), (None, [1.0] * 12, 1, None), (1050, [float("inf")] * 12, 1, None)]
     got = topk.exact_topk(vectors(spark, rows + odd), k=5, is_query=lambda c: c % 50 == 0)
@@ -345,6 +346,22 @@ def test_topk(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == expected
 
 
+def test_cover_trees_cover():
+    rnd = np.random.default_rng(2)
+    clusters = np.floor(rnd.normal(size=(20, 6)) * 900)[rnd.integers(0, 20, 3000)] + np.floor(rnd.normal(size=(3000, 6)) * 40)
+    for x in (clusters, np.floor(rnd.normal(size=(3000, 40)) * 100), np.zeros((500, 3)), np.array([[1.0, 2.0]]), np.floor(10.0 ** rnd.uniform(0, 30, (400, 2)))):
+        perm, tree = topk.cover_tree(x)
+        y = x[perm]
+        assert sorted(perm.tolist()) == list(range(len(x))) and (tree.lo[0], tree.hi[0], tree.skip[0]) == (0, len(x), len(tree.lo))
+        for i in range(len(tree.lo)):
+            assert topk.distances(y[tree.lo[i] : tree.hi[i]], y[tree.centre[i]]).max() <= tree.radius[i]
+            down = tree.children(i)
+            if down:
+                assert [tree.lo[c] for c in down] + [tree.hi[i]] == [tree.lo[i], *(tree.hi[c] for c in down)]
+    assert len(topk.cover_tree(clusters)[1].lo) > 20
+    assert (topk.Tree.unpack(tree.pack()).radius == tree.radius).all() and (topk.Tree.unpack(tree.pack()).skip == tree.skip).all()
+
+
 def test_topk_of_few_and_of_large(spark):
     few = vectors(spark, [(0, [0.5, -0.5], 0, ""), (1, [0.25], 0, ""), (2, [1e30, 0.0], 0, "")])
     got = sorted(map(tuple, topk.exact_topk(few, is_query=lambda c: c < 2).collect()))
