@@ -5,7 +5,7 @@ A pattern's spans come from two passes of the same matcher: split() gives what l
 regexp_extract_all() the matches, and running sums of their lengths give offsets in code points. Both run only where a
 cheap test finds what every match needs. Patterns are written so that no text costs more than linear
 time: repetitions are possessive, bounded, or of one class; a match may start only where the run it would lie in starts, or where the previous match ended.
-Running sums are taken in steps of STEP, so a text of very many matches costs little more than one of few.
+Running sums are taken in steps, so a text of very many matches costs little more than one of few.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runeframe.llm.common import let, quoted
+from runeframe.llm.common import let, quoted, running
 
 
 @dataclass(frozen=True)
@@ -59,8 +59,6 @@ CONTEXT = {
 #: Words that lower it: what is given as an example is nobody's.
 EXAMPLE = "example|sample|dummy|placeholder|beispiel|ejemplo|exemple"
 REACH, RAISE, LOWER, REPORTED = 40, 30, 20, 60
-#: Matches that running sums take at once.
-STEP = 64
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -101,26 +99,6 @@ def account(head: Column, tail: Column) -> Column:
     return let(F.split(tail, " "), longest)
 
 
-def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
-    """For each value, merge() of 0, all before it and itself. Within a step from its start, after what the steps before come to."""
-
-    def upto(array: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(array, 1, n), F.lit(0), merge)
-
-    def stepped(steps: Column) -> Column:
-        def placed(ahead: Column) -> Column:
-            return F.flatten(F.transform(steps, lambda step, b: F.transform(step, lambda _, i: merge(F.get(ahead, b), upto(step, i + 1)))))
-
-        sums = F.transform(steps, lambda step: upto(step, F.size(step)))
-        return let(sums, lambda s: let(F.transform(s, lambda _, b: upto(s, b)), placed))
-
-    def cut(v: Column) -> Column:
-        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(STEP))).otherwise(F.array().cast("array<int>"))
-        return let(F.transform(starts, lambda at: F.slice(v, at, STEP)), stepped)
-
-    return let(values, cut)
-
-
 def _apart(spans: Column) -> Column:
     """Confirmed spans, without those that begin within the one kept before."""
     kept = F.array().cast("array<struct<start:int,end:int,match:string>>")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runeframe.llm import bpe, components, hashing, line_dedup, mixing, ngram_join, pii, quality, queries, sharding, substring_dedup, token_counts, topk
-from runeframe.llm.common import n_words
+from runeframe.llm.common import n_words, running
 from tests.llm import brute
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -115,7 +115,7 @@ def test_running_sums(spark):
     rnd = random.Random(7)
     lists = [[rnd.randint(0, 9) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 128, 1000)]
     frame = spark.createDataFrame([(x,) for x in lists], "x array<int>")
-    sums, tops = zip(*frame.select(pii.running(F.col("x"), lambda a, b: a + b), pii.running(F.col("x"), lambda a, b: F.greatest(a, b))).collect(), strict=True)
+    sums, tops = zip(*frame.select(running(F.col("x"), lambda a, b: a + b), running(F.col("x"), lambda a, b: F.greatest(a, b))).collect(), strict=True)
     assert [list(x) for x in sums] == [list(itertools.accumulate(x)) for x in lists] and [list(x) for x in tops] == [list(itertools.accumulate(x, max)) for x in lists]
 
 
