@@ -139,8 +139,11 @@ def test_quality_keeps_good_and_drops_bad(spark, small):
     assert judged.where("quality = 0 and kept").count() <= 1
 
 
-@pytest.mark.parametrize("n, percent", [(4, 85), (5, 80), (1, 60)])
-def test_ngram_join(spark, docs, n, percent):
+@pytest.mark.parametrize("n, percent, limits", [(4, 85, {}), (5, 80, {"GROUP_ROWS": 7, "FEW_PAIRS": 0}), (1, 60, {"LEADERS": 1, "ROUNDS": 1, "GROUP_ROWS": 20, "BATCH": 3000}), (2, 100, {"FEW_PAIRS": 0, "BATCH": 500, "ROUNDS": 0})])
+def test_ngram_join(spark, docs, monkeypatch, n, percent, limits):
+    """Groups dealt to parts, joins without broadcasts, many batches, and ends after few rounds among them."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rnd = random.Random(n)
     base = [f"t{rnd.randint(0, 400)}" for _ in range(200)]
     extra = []
