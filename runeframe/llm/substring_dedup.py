@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runeframe.llm.common import let, quoted, running, settled, words
+from runeframe.llm.common import let, quoted, running, words
 from runeframe.llm.hashing import BUCKETS, bucket_cuts, grams, joined, pack, signed, sliced, steps, unpack, unsigned, word_hashes
 
 WINDOW, BLOCK, PROBE_BITS = 20, 10, 48
@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.coalesce(quoted(id_col).cast("long"), F.lit(LAST)).alias("id"), quoted(text_col).alias("text"))
     # The joins read the same exchange of the texts.
     anchored = source.join(anchors(source, n_buckets), "id", "left").select("id", "text", "blocks")
-    found = settled(hits(anchored, n_buckets))
+    found = hits(anchored, n_buckets)
     final = source.join(verified(source, found), "id", "left")
 
     def left(every: Column) -> Column:
