@@ -1,22 +1,34 @@
 """Pattern search over documents: count, locate, context, earliest places, batches.
 
-Occurrences may overlap and never cross documents. A batch of patterns is one pass over the texts: a pattern's key is its first q symbols, q the largest
+Occurrences may overlap and never cross documents. A batch of patterns is one pass over the texts. A batch that is counted to be small makes one automaton in each task, which
+walks the texts and gives hits alone, with their context where it is asked for; counts are summed up in the task. A larger batch is joined: a pattern's key is its first q symbols, q the largest
 of LEVELS that it reaches; the q-grams at each place of a text, for the levels that the batch has, join the keys; what is left of a pattern is compared
 where it would stand. An empty pattern stands at every place from 0 to the length of a text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeframe.functions.text import SMALL, pieces
-from runeframe.plans.sizing import small_side
+from runeframe.plans.sizing import is_small, small_side, spread
+
+try:
+    import ahocorasick
+except ImportError:  # then all batches are joined
+    ahocorasick = None
 
 #: Lengths of keys.
 LEVELS = (1, 2, 3, 4, 6, 8, 12)
+#: Hits of a batch of results.
+HITS = 100_000
 
 
 def level_of(m: Column, most: int = LEVELS[-1]) -> Column:
@@ -29,36 +41,114 @@ def keys_at(text: Column, at: Column, levels: list[int]) -> Column:
     return F.array_compact(F.array(*[F.when(F.length(text) - at >= q, F.substring(text, at + 1, F.lit(q))) for q in levels]))
 
 
+def numbered(patterns: DataFrame) -> tuple[list[str], DataFrame] | None:
+    """The distinct patterns with symbols, if they are counted to be few, and pattern_id, k: each pattern's place in that list."""
+    wanted = patterns.where("length(pattern) > 0").select("pattern_id", "pattern")
+    if not is_small(wanted, "pattern"):
+        return None
+    known = [r[0] for r in wanted.select("pattern").distinct().collect()]
+    places = patterns.sparkSession.createDataFrame(list(enumerate(known)), "k int, pattern string")
+    return known, wanted.join(F.broadcast(places), "pattern").select("pattern_id", "k")
+
+
+def automaton_of(patterns: list[str]):
+    """Finds (end, (k, length)) of all places of all patterns in a text."""
+    out = ahocorasick.Automaton()
+    for k, p in enumerate(patterns):
+        out.add_word(p, (k, len(p)))
+    out.make_automaton()
+    return out
+
+
+def scanned(docs: DataFrame, patterns: list[str], before: int = -1, after: int = 0) -> DataFrame:
+    """doc_id, k, pos of every hit; with before >= 0 also left and right, the text around it up to a line feed."""
+    kind, held, context = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(patterns), before >= 0
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = automaton_of(held.value)
+        for batch in batches:
+            row, k, pos, left, right = [], [], [], [], []
+
+            def send(ids: pa.Array = batch.column(0)) -> pa.RecordBatch:
+                columns = [ids.take(pa.array(row, pa.int64())), pa.array(k, pa.int32()), pa.array(pos, pa.int64()), *([pa.array(left, pa.string()), pa.array(right, pa.string())] if context else [])]
+                out = pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "pos", *(["left", "right"] if context else [])])
+                for column in (row, k, pos, left, right):
+                    column.clear()
+                return out
+
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                for end, (which, m) in find.iter(text):
+                    at = end - m + 1
+                    row.append(i)
+                    k.append(which)
+                    pos.append(at)
+                    if context:
+                        left.append(text[max(0, at - before) : at].rpartition("\n")[2])
+                        right.append(text[end + 1 : end + 1 + after].partition("\n")[0])
+                    if len(k) >= HITS:
+                        yield send()
+            if k:
+                yield send()
+
+    schema = f"doc_id {kind}, k int, pos long" + (", left string, right string" if context else "")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)
+
+
+def counted(docs: DataFrame, patterns: list[str]) -> DataFrame:
+    """k, occurrences of the patterns that occur."""
+    held = docs.sparkSession.sparkContext.broadcast(patterns)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, total = automaton_of(held.value), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    total.update(x[1][0] for x in find.iter(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
+
+    return spread(docs.select("text")).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("occurrences"))
+
+
+def everywhere(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern_id, doc_id, pos of empty patterns: every place of every text."""
+    places = docs.where("text is not null").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"))).alias("pos"))
+    empty = patterns.where("pattern = ''").select(F.collect_list("pattern_id").alias("ids"))  # each of them is told all places, so there are few
+    return places.join(F.broadcast(empty)).select(F.explode("ids").alias("pattern_id"), "doc_id", "pos")
+
+
+def joined(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern_id, doc_id, pos of patterns with symbols, however many."""
+    wanted = patterns.where("length(pattern) > 0").select("pattern_id", "pattern", F.length("pattern").alias("m"))
+    lengths = wanted.agg(F.collect_set(level_of(F.col("m"))).alias("levels"), F.max(F.col("m") > level_of(F.col("m"))).alias("longer")).first()
+    if not lengths.levels:
+        return docs.select(F.lit(None).cast(patterns.schema["pattern_id"].dataType).alias("pattern_id"), "doc_id", F.lit(0).cast("long").alias("pos")).where(F.lit(False))
+    keyed = small_side(wanted.withColumn("key", F.substring(F.col("pattern"), F.lit(1), level_of(F.col("m")))), "pattern")
+    cut = pieces(docs.select("doc_id", "text"), max(lengths.levels) - 1)
+    keys = F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.length("piece"), F.lit(SMALL)) - 1), lambda at: F.transform(keys_at(F.col("piece"), at, sorted(lengths.levels)), lambda k: F.struct(at.alias("at"), k.alias("key")))))
+    each = cut.select("doc_id", "start", F.explode(keys).alias("x")).select("doc_id", (F.col("start") + F.col("x.at")).alias("pos"), F.col("x.key").alias("key"))
+    found = each.join(keyed, "key")
+    if lengths.longer:  # candidates are few by now; the texts decide
+        here = F.substring(F.col("text"), (F.col("pos") + 1).cast("int"), F.col("m")) == F.col("pattern")
+        found = found.join(docs.select("doc_id", "text"), "doc_id").where(here)
+    return found.select("pattern_id", "doc_id", "pos")
+
+
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern_id, doc_id, pos for docs (doc_id, text) and patterns (pattern_id, pattern)."""
-    wanted = patterns.where("pattern is not null").select("pattern_id", "pattern", F.length("pattern").alias("m"))
-    lengths = wanted.agg(F.max("m").alias("most"), F.count(F.when(F.col("m") == 0, 1)).alias("empty"), F.collect_set(F.when(F.col("m") > 0, level_of(F.col("m")))).alias("levels"), F.max(F.col("m") > level_of(F.col("m"))).alias("longer")).first()
-    found = None
-    if lengths.levels:
-        keyed = small_side(wanted.where("m > 0").withColumn("key", F.substring(F.col("pattern"), F.lit(1), level_of(F.col("m")))), "pattern")
-        cut = pieces(docs.select("doc_id", "text"), max(lengths.levels) - 1)
-        keys = F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.length("piece"), F.lit(SMALL)) - 1), lambda at: F.transform(keys_at(F.col("piece"), at, sorted(lengths.levels)), lambda k: F.struct(at.alias("at"), k.alias("key")))))
-        each = cut.select("doc_id", "start", F.explode(keys).alias("x")).select("doc_id", (F.col("start") + F.col("x.at")).alias("pos"), F.col("x.key").alias("key"))
-        found = each.join(keyed, "key")
-        if lengths.longer:  # candidates are few by now; the texts decide
-            here = F.substring(F.col("text"), (F.col("pos") + 1).cast("int"), F.col("m")) == F.col("pattern")
-            found = found.join(docs.select("doc_id", "text"), "doc_id").where(here)
-        found = found.select("pattern_id", "doc_id", "pos")
-    if lengths.empty:
-        places = docs.where("text is not null").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"))).alias("pos"))
-        everywhere = places.join(F.broadcast(wanted.where("m = 0").select("pattern_id").limit(1)))
-        if lengths.empty > 1:
-            everywhere = everywhere.drop("pattern_id").join(wanted.where("m = 0").select("pattern_id"))
-        everywhere = everywhere.select("pattern_id", "doc_id", "pos")
-        found = everywhere if found is None else found.unionByName(everywhere)
-    if found is None:
-        found = docs.select(F.lit(None).cast(patterns.schema["pattern_id"].dataType).alias("pattern_id"), "doc_id", F.lit(0).cast("long").alias("pos")).where(F.lit(False))
-    return found
+    few = numbered(patterns) if ahocorasick else None
+    found = scanned(docs, few[0]).join(F.broadcast(few[1]), "k").select("pattern_id", "doc_id", "pos") if few else joined(docs, patterns)
+    return found.unionByName(everywhere(docs, patterns)) if patterns.where("pattern = ''").limit(1).count() else found
 
 
 def count(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern_id, occurrences: for every pattern, 0 included."""
-    return patterns.select("pattern_id").join(occurrences(docs, patterns).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("occurrences")), "pattern_id", "left").fillna(0, ["occurrences"])
+    few = numbered(patterns) if ahocorasick else None
+    found = few[1].join(counted(docs, few[0]), "k").select("pattern_id", "occurrences") if few else joined(docs, patterns).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    places = docs.where("text is not null").agg(F.coalesce(F.sum(F.length("text").cast("long") + 1), F.lit(0)).alias("places"))  # of an empty pattern
+    all_of_them = patterns.select("pattern_id", (F.col("pattern") == "").alias("empty")).join(found, "pattern_id", "left").join(F.broadcast(places))
+    return all_of_them.select("pattern_id", F.when(F.col("empty"), F.col("places")).otherwise(F.coalesce("occurrences", F.lit(0))).alias("occurrences"))
 
 
 def locate(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -68,7 +158,7 @@ def locate(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def missing(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """The patterns that occur nowhere."""
-    return patterns.join(occurrences(docs, patterns).select("pattern_id").distinct(), "pattern_id", "left_anti")
+    return patterns.join(count(docs, patterns).where("occurrences > 0").select("pattern_id"), "pattern_id", "left_anti")
 
 
 def batch_report(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -76,14 +166,21 @@ def batch_report(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return count(docs, patterns).agg(F.count(F.lit(1)).alias("patterns"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"), F.count_if(F.col("occurrences") > 0).alias("found"))
 
 
+def _first(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("pattern_id").orderBy("doc_id", "pos")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def first_places(docs: DataFrame, patterns: DataFrame, k: int) -> DataFrame:
     """pattern_id, rank, doc_id, pos: the k earliest places of each pattern, by document, then position."""
-    order = Window.partitionBy("pattern_id").orderBy("doc_id", "pos")
-    return occurrences(docs, patterns).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("pattern_id", "rank", "doc_id", "pos")
+    return _first(occurrences(docs, patterns), k).select("pattern_id", "rank", "doc_id", "pos")
 
 
 def in_context(docs: DataFrame, patterns: DataFrame, k: int = 5, before: int = 10, after: int = 10) -> DataFrame:
     """first_places() with left and right, the text around a place, up to a line feed."""
+    few = numbered(patterns) if ahocorasick and not patterns.where("pattern = ''").limit(1).count() else None
+    if few:  # what stands around a hit comes with it
+        return _first(scanned(docs, few[0], before, after).join(F.broadcast(few[1]), "k").drop("k"), k).select("pattern_id", "rank", "doc_id", "pos", "left", "right")
     places = first_places(docs, patterns, k).join(patterns.select("pattern_id", F.length("pattern").alias("m")), "pattern_id").join(docs.select("doc_id", "text"), "doc_id")
     begin = F.greatest(F.col("pos") - before, F.lit(0))
     left, right = F.substring("text", begin.cast("int") + 1, (F.col("pos") - begin).cast("int")), F.substring(F.col("text"), (F.col("pos") + F.col("m") + 1).cast("int"), F.lit(after))

@@ -6,15 +6,17 @@ batches; the common prefix of neighbours is read off the levels of the doubling.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeframe.functions.text import SENTINEL
-from runeframe.plans.sizing import small_side
 
 #: Rows of a batch of results.
 ROWS = 200_000
@@ -189,20 +191,108 @@ def index_rows(docs: DataFrame, key: int) -> DataFrame:
     return each.select("doc_id", (F.col("start") + F.col("at")).alias("pos"), "key")
 
 
-def look_up(index: DataFrame, docs: DataFrame, patterns: DataFrame, key: int) -> DataFrame:
-    """pattern_id, doc_id, pos through an index of index_rows(): patterns up to key symbols by range of keys, which files sorted by key skip; for longer
-    ones the key finds candidates, and the text decides. Within the range of all patterns, keys meet by equality on the levels of search.LEVELS."""
-    from runeframe.operators.search import keys_at, level_of
+#: Ranges of keys that a look-up pushes to the scan at most; nearer ones are joined.
+RANGES = 64
+#: Above every symbol.
+LAST = "\U0010ffff"
+
+
+def key_ranges(patterns: list[str], key: int) -> list[tuple[str, str]]:
+    """Ranges of keys, ends included, that hold all those that start with a pattern's first key symbols, RANGES at most."""
+    out: list[tuple[str, str]] = []
+    for q in sorted({p[:key] for p in patterns}):
+        if out and q <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], q + LAST)
+        else:
+            out.append((q, q + LAST))
+    step = -(-len(out) // RANGES) or 1
+    return [(out[i][0], out[min(i + step, len(out)) - 1][1]) for i in range(0, len(out), step)]
+
+
+def _near(index: DataFrame, patterns: list[str], key: int) -> DataFrame:
+    """The part of an index that the scan can't rule out."""
+    some = [F.col("key").between(low, high) for low, high in key_ranges(patterns, key)]
+    return index.where(reduce(Column.__or__, some)) if some else index.limit(0)
+
+
+def _bounds(keys: list[str], patterns: list[str], lows: list[str], key: int) -> Iterator[tuple[int, int, int]]:
+    """(k, from, to) for patterns (in order) whose first key symbols start keys from to to of an ascending list. Only those that can stand between its ends are looked at, and their prefixes."""
+    first = {keys[0][:m] for m in range(1, len(keys[0]) + 1)}
+    whole = [k for q in first for k in range(bisect_left(lows, q), bisect_right(lows, q))]
+    inside = range(bisect_left(lows, keys[0]), bisect_right(lows, keys[-1]))
+    for k in sorted({*whole, *inside}):
+        a, b = bisect_left(keys, lows[k]), bisect_right(keys, lows[k] + LAST)
+        if b > a:
+            yield k, a, b
+
+
+def count_in_index(index: DataFrame, patterns: list[str], key: int) -> DataFrame:
+    """k, n: places of patterns up to key symbols, from ascending keys alone. patterns: ascending."""
+    held = index.sparkSession.sparkContext.broadcast(patterns)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, total = held.value, {}
+        for batch in batches:
+            keys = sorted(batch.column(0).to_pylist())
+            for k, a, b in _bounds(keys, lows, lows, key) if keys else ():
+                total[k] = total.get(k, 0) + b - a
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
 
+    return _near(index.select("key"), patterns, key).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def locate_in_index(index: DataFrame, patterns: list[str], key: int) -> DataFrame:
+    """k, doc_id, pos: places whose key starts with the first key symbols of pattern k. patterns: ascending."""
+    kind, held = index.schema["doc_id"].dataType.simpleString(), index.sparkSession.sparkContext.broadcast(patterns)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = held.value
+        lows = [p[:key] for p in patterns]
+        for batch in batches:
+            order = pc.sort_indices(batch.column(2))
+            keys = batch.column(2).take(order).to_pylist()
+            for k, a, b in _bounds(keys, patterns, lows, key) if keys else ():
+                rows = order[a:b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, k, "<i4")), batch.column(0).take(rows), batch.column(1).take(rows)], names=["k", "doc_id", "pos"])
+
+    return _near(index.select("doc_id", "pos", "key"), patterns, key).mapInArrow(run, f"k int, doc_id {kind}, pos long")
+
+
+def look_up(index: DataFrame, docs: DataFrame, patterns: DataFrame, key: int) -> DataFrame:
+    """pattern_id, doc_id, pos through an index of index_rows(): the scan reads ranges of keys, which files sorted by key skip to; patterns find
+    their places in ascending keys by halving. For patterns longer than key that gives candidates, and the text decides. A batch that is too large for a task is joined on its keys instead."""
+    from runeframe.operators.search import keys_at, level_of, numbered
+
+    here: Column = F.substring(F.col("text"), (F.col("pos") + 1).cast("int"), F.length("pattern")) == F.col("pattern")
+    few = numbered(patterns)
+    if few:
+        known, ids = sorted(few[0]), patterns.where("length(pattern) > 0").select("pattern_id", "pattern")
+        places = F.broadcast(patterns.sparkSession.createDataFrame(list(enumerate(known)), "k int, pattern string"))
+        hits = locate_in_index(index, known, key).join(places, "k")
+        short = hits.where(F.length("pattern") <= key)
+        long = hits.where(F.length("pattern") > key).join(docs.select("doc_id", "text"), "doc_id").where(here) if any(len(p) > key for p in known) else hits.limit(0)
+        return short.select("pattern", "doc_id", "pos").unionByName(long.select("pattern", "doc_id", "pos")).join(F.broadcast(ids), "pattern").select("pattern_id", "doc_id", "pos")
     wanted = patterns.where("length(pattern) > 0").select("pattern_id", "pattern", F.length("pattern").alias("m"))
     keyed = wanted.withColumn("q", F.substring(F.col("pattern"), F.lit(1), level_of(F.col("m"), key)))
-    bounds = keyed.agg(F.min("q").alias("low"), F.max(F.concat("q", F.lit("\U0010ffff"))).alias("high"), F.collect_set(level_of(F.col("m"), key)).alias("levels")).first()
-    if bounds.low is None:
-        return index.select(F.lit(None).cast(patterns.schema["pattern_id"].dataType).alias("pattern_id"), "doc_id", "pos").where(F.lit(False))
-    near = index.where((F.col("key") >= bounds.low) & (F.col("key") < F.lit(bounds.high)))
-    each = near.select("doc_id", "pos", "key", F.explode(keys_at(F.col("key"), F.lit(0), sorted(bounds.levels))).alias("q"))
-    hits = each.join(small_side(keyed, "pattern"), "q").where(F.substring(F.col("key"), F.lit(1), F.col("m")) == F.substring(F.col("pattern"), 1, key))
+    levels = [r[0] for r in keyed.select(level_of(F.col("m"), key)).distinct().collect()]
+    each = index.select("doc_id", "pos", "key", F.explode(keys_at(F.col("key"), F.lit(0), sorted(levels))).alias("q"))
+    hits = each.join(keyed, "q").where(F.substring(F.col("key"), F.lit(1), F.col("m")) == F.substring(F.col("pattern"), 1, key))
     short = hits.where(F.col("m") <= key).select("pattern_id", "doc_id", "pos")
-    stands: Column = F.substring(F.col("text"), (F.col("pos") + 1).cast("int"), F.col("m")) == F.col("pattern")
-    long = hits.where(F.col("m") > key).join(docs.select("doc_id", "text"), "doc_id").where(stands).select("pattern_id", "doc_id", "pos")
+    long = hits.where(F.col("m") > key).join(docs.select("doc_id", "text"), "doc_id").where(here).select("pattern_id", "doc_id", "pos")
     return short.unionByName(long)
+
+
+def count_up(index: DataFrame, docs: DataFrame, patterns: DataFrame, key: int) -> DataFrame:
+    """pattern_id, occurrences of patterns with symbols, those that occur, through an index. Patterns up to key symbols are counted on keys alone."""
+    from runeframe.operators.search import numbered
+
+    few = numbered(patterns)
+    if not few:
+        return look_up(index, docs, patterns, key).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    short = sorted(p for p in few[0] if len(p) <= key)
+    places = F.broadcast(patterns.sparkSession.createDataFrame(list(enumerate(short)), "k int, pattern string"))
+    found = count_in_index(index, short, key).join(places, "k").join(F.broadcast(patterns.select("pattern_id", "pattern")), "pattern").select("pattern_id", F.col("n").alias("occurrences"))
+    if len(short) == len(few[0]):
+        return found
+    long = look_up(index, docs, patterns.where(F.length("pattern") > key), key).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    return found.unionByName(long)

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 MOST_ROWS, MOST_CHARS = 200_000, 16_000_000
 
 
+def is_small(df: DataFrame, chars: str | None = None) -> bool:
+    """Whether df is counted to be small."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.length(chars)) if chars else F.lit(0)).alias("c")).first()
+    return size.n <= MOST_ROWS and (size.c or 0) <= MOST_CHARS
+
+
 def small_side(df: DataFrame, chars: str | None = None) -> DataFrame:
     """df, to be broadcast if it is counted to be small."""
-    size = df.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.length(chars)) if chars else F.lit(0)).alias("c")).first()
-    return F.broadcast(df) if size.n <= MOST_ROWS and (size.c or 0) <= MOST_CHARS else df
+    return F.broadcast(df) if is_small(df, chars) else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runeframe.operators import blocks as block_ops
-from runeframe.operators.suffixes import index_rows, look_up
+from runeframe.operators.suffixes import count_up, index_rows, look_up
+
+
+def fingerprint(docs: DataFrame) -> tuple:
+    """Number of documents and sum of their hashes: the same for the same documents in any order."""
+    return tuple(docs.where("text is not null").agg(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)"))).first())
 
 
 def index_path(base: str, b: int, fac_dens: int, key: int) -> str:
@@ -48,7 +53,18 @@ class Index:
         return self.spark.read.parquet(f"{self.path}/{table}")
 
     def build(self, docs: DataFrame, with_blocks: bool = True) -> Index:
-        """Builds what isn't there yet from docs (doc_id, text): corpus, suffixes, and with_blocks the block tables; without factors if fac_dens is 0."""
+        """Builds what isn't there yet from docs (doc_id, text): corpus, suffixes, and with_blocks the block tables; without factors if fac_dens is 0.
+
+        An index of other documents at this place is replaced. One that a stream fills is not touched: that is an error.
+        """
+        place, files, jvm = self._place("suffixes")
+        if files.exists(place) and not self.has("suffixes") and any(s.getPath().getName().startswith("batch=") for s in files.listStatus(place)):
+            raise ValueError("a stream appends to this index")
+        here = fingerprint(docs)
+        if self.has("fingerprint") and tuple(self.read("fingerprint").first()) != here:
+            self.delete()
+        if not self.has("fingerprint"):
+            self._write("fingerprint", self.spark.createDataFrame([here], "docs long, sum decimal(38,0)"))
         if not self.has("corpus"):
             self._write("corpus", docs.select("doc_id", "text").where("text is not null"))
         corpus = self.read("corpus")
@@ -68,7 +84,8 @@ class Index:
         return look_up(self.read("suffixes"), self.read("corpus"), patterns, self.key)
 
     def count(self, patterns: DataFrame) -> DataFrame:
-        found = self.locate(patterns).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("occurrences"))
+        """pattern_id, occurrences: for every pattern with symbols, 0 included."""
+        found = count_up(self.read("suffixes"), self.read("corpus"), patterns, self.key)
         return patterns.select("pattern_id").join(found, "pattern_id", "left").fillna(0, ["occurrences"])
 
     def count_with_steps(self, patterns: DataFrame) -> DataFrame:
@@ -87,7 +104,7 @@ class Index:
     def structure(self) -> dict:
         """The tables of the index and their bytes, as a tree."""
         children = []
-        for table in ("corpus", "suffixes", "block_table", "blocks", "factors"):
+        for table in ("fingerprint", "corpus", "suffixes", "block_table", "blocks", "factors"):
             place, files, _ = self._place(table)
             if files.exists(place):
                 children.append({"name": table, "class": "parquet", "size": files.getContentSummary(place).getLength()})
