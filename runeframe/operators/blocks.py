@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeframe.functions.text import SENTINEL
+from runeframe.operators.search import LEVELS, keys_at, level_of
 from runeframe.operators.suffixes import code_points, per_document, suffix_array
+from runeframe.plans.scratch import kept
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -39,7 +41,7 @@ def block_depths(lcp: np.ndarray, b: int) -> np.ndarray:
 def block_table(texts: DataFrame, b: int, id_col: str = "doc_id", text_col: str = "text", parse: bool = False) -> DataFrame:
     """suffix_table() with block (rank of the first suffix of its block), depth (symbols of the block's prefix), and, where a factor of the parse starts, factor_no.
 
-    A text of no more than b suffixes is one block of depth 0; parsing it is an error.
+    A text of no more than b suffixes is one block of depth 0. To be parsed, its suffixes are blocks of their own, so it is one factor.
     """
     if b < 1:
         raise ValueError("b must be 1 at least")
@@ -47,9 +49,7 @@ def block_table(texts: DataFrame, b: int, id_col: str = "doc_id", text_col: str
     def table(text: str) -> dict:
         order, lcp = suffix_array(code_points(text))
         n = len(order)
-        if parse and b >= n:
-            raise ValueError(f"a text of {n} suffixes with its end can't be parsed into blocks of {b}")
-        depth = block_depths(lcp, b)
+        depth = n - order if parse and b >= n else block_depths(lcp, b)
         block = np.maximum.accumulate(np.where(lcp < depth, np.arange(n), 0))
         factor: list[int | None] = [None] * n
         if parse:
@@ -102,14 +102,6 @@ def reductions(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
             return hop.select(id_col, "block", F.col("dest").alias("dest_block"), F.col("x").alias("delta_x"), F.col("d").alias("delta_d"))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once, in the session's checkpoint folder: loops don't grow their lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def condensed_bwt(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, rank, bwt at the first suffix of each block."""
     return table.where("rank = block").select(id_col, "rank", "bwt")
@@ -160,41 +152,45 @@ def delta_statistics(reduced: DataFrame) -> DataFrame:
     return reduced.agg(F.max("delta_x").alias("max_x"), F.avg("delta_x").alias("avg_x"), F.max("delta_d").alias("max_d"), F.avg("delta_d").alias("avg_d"))
 
 
+def starting(longer: DataFrame, long_col: str, shorter: DataFrame, short_col: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of both where one string starts with the other (not an empty one), and the columns on agree. They meet by the first symbols of the shorter, as many as a level of its length says."""
+    keyed = shorter.where(F.length(short_col) > 0).withColumn("_key", F.substring(F.col(short_col), F.lit(1), level_of(F.length(short_col))))
+    each = longer.withColumn("_key", F.explode(keys_at(F.col(long_col), F.lit(0), list(LEVELS))))
+    return each.join(keyed, [*on, "_key"]).where(F.startswith(F.col(long_col), F.col(short_col))).drop("_key")
+
+
 def narrowed(block_rows: DataFrame, patterns: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """pattern_id, id, depth, answered, size: what the block prefixes alone say of each pattern. answered: no block is longer than it, so size is its count;
     otherwise the one block whose prefix starts it, with its depth and size. No row: it can't occur."""
-    p = patterns.where("length(pattern) > 0").select("pattern_id", "pattern", F.substring("pattern", 1, 1).alias("head"))
-    b = block_rows.select(id_col, "prefix", "depth", "size", F.substring("prefix", 1, 1).alias("head"))
-    both = b.join(p, "head")
+    p = patterns.where("length(pattern) > 0").select("pattern_id", "pattern")
+    b = block_rows.select(id_col, "prefix", "depth", "size")
     m = F.length("pattern")
-    above = both.where(F.startswith(F.col("prefix"), F.col("pattern"))).groupBy("pattern_id", id_col).agg(F.first(m).cast("long").alias("depth"), F.lit(True).alias("answered"), F.sum("size").alias("size"))
-    below = both.where(F.startswith(F.col("pattern"), F.col("prefix")) & (F.length("prefix") < m) & (F.col("depth") == F.length("prefix"))).select("pattern_id", id_col, "depth", F.lit(False).alias("answered"), "size")
+    above = starting(b, "prefix", p, "pattern").groupBy("pattern_id", id_col).agg(F.first(m).cast("long").alias("depth"), F.lit(True).alias("answered"), F.sum("size").alias("size"))
+    below = starting(p, "pattern", b, "prefix").where((F.length("prefix") < m) & (F.col("depth") == F.length("prefix"))).select("pattern_id", id_col, "depth", F.lit(False).alias("answered"), "size")
     return above.unionByName(below)
 
 
 def under(block_rows: DataFrame, patterns: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """pattern_id, id, block, depth, size: every block whose prefix starts with a pattern."""
-    p = patterns.where("length(pattern) > 0").select("pattern_id", "pattern", F.substring("pattern", 1, 1).alias("head"))
-    b = block_rows.withColumn("head", F.substring("prefix", 1, 1))
-    return b.join(p, "head").where(F.startswith(F.col("prefix"), F.col("pattern"))).select("pattern_id", id_col, "block", "depth", "size")
+    p = patterns.select("pattern_id", "pattern")
+    return starting(block_rows, "prefix", p, "pattern").select("pattern_id", id_col, "block", "depth", "size")
 
 
 def chunk_filter(block_rows: DataFrame, patterns: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """pattern_id, id: the pairs that block prefixes don't rule out. A pattern is cut greedily into block prefixes, like a text; each piece must be there.
 
-    All pairs advance by one piece a round, and there are as many rounds as the longest pattern has pieces.
+    Pairs come from the first piece; all advance by one piece a round, and there are as many rounds as the longest pattern has pieces.
     """
-    b = block_rows.select(id_col, "prefix", "depth", F.substring("prefix", 1, 1).alias("head")).where("prefix <> ''")
-    going = patterns.where("length(pattern) > 0").select("pattern_id", F.col("pattern").alias("rest")).join(block_rows.select(id_col).distinct())
-    passed = None
+    b = block_rows.select(id_col, "prefix", "depth").where("prefix <> ''")
+    going, on, passed = patterns.where("length(pattern) > 0").select("pattern_id", F.col("pattern").alias("rest")), (), None
     while True:
-        met = going.withColumn("head", F.substring("rest", 1, 1)).join(b, [id_col, "head"])
-        whole = F.startswith(F.col("prefix"), F.col("rest"))
-        piece = F.startswith(F.col("rest"), F.col("prefix")) & (F.col("depth") == F.length("prefix"))
-        step = kept(met.where(whole | piece).select("pattern_id", id_col, whole.alias("done"), F.when(~whole, F.substring(F.col("rest"), (F.col("depth") + 1).cast("int"), F.length("rest"))).alias("rest")).distinct())
-        done = step.where("done").select("pattern_id", id_col)
+        whole = starting(b, "prefix", going, "rest", on).select("pattern_id", id_col)
+        pieces = starting(going, "rest", b, "prefix", on).where((F.col("depth") == F.length("prefix")) & (F.length("prefix") < F.length("rest")))
+        step = pieces.select("pattern_id", id_col, F.substring(F.col("rest"), (F.col("depth") + 1).cast("int"), F.length("rest")).alias("rest"))
+        step = kept(whole.withColumn("rest", F.lit(None).cast("string")).unionByName(step).distinct())
+        done = step.where("rest is null").select("pattern_id", id_col)
         passed = done if passed is None else passed.unionByName(done)
-        going = step.where("not done").select("pattern_id", "rest", id_col)
+        going, on = step.where("rest is not null"), (id_col,)
         if not going.limit(1).count():
             return passed.distinct()
 
@@ -211,11 +207,18 @@ def headers(reduced: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return reduced.where("delta_d > 0").groupBy(id_col, "dest_block").agg(F.sort_array(F.collect_list(entry)).alias("header"))
 
 
-def stands_in_factors(parsed: DataFrame, block_rows: DataFrame, places: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """places (id, pos, pattern) where the pattern stands, judged on the factors alone: of each place, those from the last border before it to its end."""
-    f = parsed.join(block_rows.select(id_col, "block", "prefix"), [id_col, "block"]).select(id_col, "start_pos", "depth", "prefix")
-    near = places.join(f, id_col).where((F.col("start_pos") < F.col("pos") + F.length("pattern")) & (F.col("start_pos") + F.col("depth") > F.col("pos")))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_pos", "prefix"))), lambda x: x["prefix"]), "")
+def stands_in_factors(parsed: DataFrame, block_rows: DataFrame, places: DataFrame, id_col: str = "doc_id", width: int = 64) -> DataFrame:
+    """places (id, pos, pattern) where the pattern stands, judged on the factors alone: of each place, those from the last border before it to its end.
+
+    Places and factors meet in cells of width positions, each dealt to those it touches, so a place meets the factors around it only.
+    """
+    def cells(start: Column, length: Column) -> Column:
+        return F.explode(F.sequence(F.floor(start / width), F.floor((start + F.greatest(length, F.lit(1)) - 1) / width)))
+
+    f = parsed.join(block_rows.select(id_col, "block", "prefix"), [id_col, "block"]).select(id_col, "start_pos", "depth", "prefix", cells(F.col("start_pos"), F.col("depth")).alias("cell"))
+    near = places.withColumn("cell", cells(F.col("pos"), F.length("pattern"))).join(f, [id_col, "cell"]).where((F.col("start_pos") < F.col("pos") + F.length("pattern")) & (F.col("start_pos") + F.col("depth") > F.col("pos")))
+    # a factor may meet a place in several cells
+    text = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("start_pos", "prefix"))), lambda x: x["prefix"]), "")
     joined = near.groupBy(*places.columns).agg(text.alias("text"), F.min("start_pos").alias("first"))
     here = F.substring(F.col("text"), (F.col("pos") - F.col("first") + 1).cast("int"), F.length("pattern")) == F.col("pattern")
     return joined.where(here).select(*places.columns)

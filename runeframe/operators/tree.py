@@ -1,51 +1,109 @@
-"""The suffix tree of every document as a table of LCP intervals, and navigation as joins and windows.
+"""The suffix tree of every document as a table of LCP intervals, and navigation as columns, lookups and windows.
 
 A node is an interval of ranks with the depth that its suffixes share. Leaves are single ranks; a leaf's depth is its suffix with the sentinel.
+What a node's place among the others decides (parent, level, links) is computed where the suffix array is, in numpy over all nodes of a text at once; nodes are never joined with nodes or suffixes of their text.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runeframe.operators.suffixes import code_points, per_document, psi_and_lf, suffix_array
-
-
-def intervals_of(lcp: np.ndarray, order: np.ndarray) -> dict[str, list]:
-    """Nodes bottom up: lb, rb, depth, parent's lb and rb (None at the root), node_depth, and the position of a suffix."""
+from runeframe.operators.arrays import extreme_in_ranges
+from runeframe.operators.suffixes import code_points, per_document, suffix_array
+
+
+def smaller_left(v: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with a smaller value; -1 if there is none. A place that isn't smaller hands on to where it looks itself."""
+    p, going = np.arange(-1, len(v) - 1), np.arange(1, len(v))
+    while len(going):
+        going = going[p[going] >= 0]
+        going = going[v[p[going]] >= v[going]]
+        p[going] = p[p[going]]
+    return p
+
+
+def smaller_right(v: np.ndarray) -> np.ndarray:
+    """For each place the first one after it with a smaller value; the length if there is none."""
+    return len(v) - 1 - smaller_left(v[::-1])[::-1]
+
+
+@dataclass
+class Intervals:
+    """All nodes of a text: its leaves by rank, then inner nodes. parent: -1 at the root. at: for each rank but the first, the node where its suffix parts from the one before."""
+
+    lb: np.ndarray
+    rb: np.ndarray
+    depth: np.ndarray
+    parent: np.ndarray
+    level: np.ndarray
+    at: np.ndarray
+    after: np.ndarray
+    lcp: np.ndarray
+
+
+def intervals_of(lcp: np.ndarray, order: np.ndarray) -> Intervals:
+    n, ranks = len(order), np.arange(len(order))
+    low = lcp.copy()
+    low[0] = -1
+    first, after = np.maximum(smaller_left(low), 0), smaller_right(low)
+    names, place, at = np.unique(first[1:] * (n + 1) + after[1:], return_index=True, return_inverse=True)
+    lb, rb, depth = names // (n + 1), names % (n + 1) - 1, lcp[1:][place]
+    at = np.append(-1, at + n)
+    every_lb, every_rb, every_depth = np.concatenate((ranks, lb)), np.concatenate((ranks, rb)), np.concatenate((n - order, depth))
+    # The parent parts at one of a node's ends, the deeper of the two
+    outer = np.append(low, -1)
+    left, right = outer[every_lb], outer[every_rb + 1]
+    parent = np.append(at, -1)[np.where(left >= right, every_lb, every_rb + 1)]
+    level, up = np.zeros(len(parent), dtype=np.int64), parent.copy()
+    level[up >= 0] = 1
+    while (up >= 0).any():
+        some = up >= 0
+        level[some] += level[up[some]]
+        up[some] = up[up[some]]
+    return Intervals(every_lb, every_rb, every_depth, parent, level, at, after, lcp)
+
+
+def links_of(t: Intervals, order: np.ndarray) -> np.ndarray:
+    """For each node the node of its string without the first symbol; -1 for the root and the leaf of the sentinel.
+
+    psi takes a node's ends into the linked node, and between them, the first place where suffixes share fewer symbols than the node's depth has just one less.
+    """
     n = len(order)
-    done: list[list] = []  # lb, rb, depth, children's indices
-    open_: list[tuple[int, int, list[int]]] = [(0, 0, [])]
-    for i in range(n):
-        leaf = [i, i, n - int(order[i]), []]
-        following = int(lcp[i + 1]) if i + 1 < n else 0
-        done.append(leaf)
-        last = len(done) - 1
-        if following > open_[-1][0]:
-            open_.append((following, i, [last]))
-            continue
-        open_[-1][2].append(last)
-        while open_[-1][0] > following:
-            depth, lb, children = open_.pop()
-            done.append([lb, i, depth, children])
-            last = len(done) - 1
-            if open_[-1][0] < following:
-                open_.append((following, lb, [last]))
-            else:
-                open_[-1][2].append(last)
-    if n > 1:
-        done.append([0, n - 1, 0, open_[0][2]])
-    parent: list[int | None] = [None] * len(done)
-    for i, node in enumerate(done):
-        for c in node[3]:
-            parent[c] = i
-    level = [0] * len(done)
-    for i in range(len(done) - 1, -1, -1):
-        if parent[i] is not None:
-            level[i] = level[parent[i]] + 1
-    up = [done[p] if p is not None else [None, None] for p in parent]
-    return {"lb": [d[0] for d in done], "rb": [d[1] for d in done], "depth": [d[2] for d in done], "parent_lb": [u[0] for u in up], "parent_rb": [u[1] for u in up], "node_depth": level, "pos": [int(order[d[0]]) for d in done]}
+    isa = np.empty(n, dtype=np.int64)
+    isa[order] = np.arange(n)
+    psi = isa[np.minimum(order + 1, n - 1)]
+    link = np.full(len(t.lb), -1, dtype=np.int64)
+    leaves = np.flatnonzero(t.depth[:n] > 1)
+    link[leaves] = psi[leaves]
+    inner = np.flatnonzero((np.arange(len(t.lb)) >= n) & (t.depth > 0))
+    q = psi[t.lb[inner]] + 1
+    going = np.arange(len(inner))
+    while len(going):
+        going = going[t.lcp[q[going]] >= t.depth[inner[going]]]
+        q[going] = t.after[q[going]]
+    link[inner] = t.at[q]
+    return link
+
+
+def weiner_of(t: Intervals, order: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """node, symbol, first and last rank of the string with the symbol in front, for each symbol that stands before suffixes of a node."""
+    before = np.where(order > 0, np.append(codes, 0)[order - 1], -1)
+    smaller, out = 1, []  # ranks below those of a symbol: the sentinel's suffix first
+    for c in np.unique(codes):
+        ranks = np.flatnonzero(before == c)
+        a, b = np.searchsorted(ranks, t.lb), np.searchsorted(ranks, t.rb, side="right")
+        some = np.flatnonzero(b > a)
+        out.append((some, np.full(len(some), c), smaller + a[some], smaller + b[some] - 1))
+        smaller += len(ranks)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
+
+
+def _or_none(values: np.ndarray, known: np.ndarray) -> list[int | None]:
+    return [v if k else None for v, k in zip(values.tolist(), known.tolist(), strict=True)]
 
 
 def nodes(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,11 +111,25 @@ def nodes(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def table(text: str) -> dict:
         order, lcp = suffix_array(code_points(text))
-        return intervals_of(lcp, order)
+        t = intervals_of(lcp, order)
+        up, known = np.maximum(t.parent, 0), t.parent >= 0
+        return {"lb": t.lb, "rb": t.rb, "depth": t.depth, "parent_lb": _or_none(t.lb[up], known), "parent_rb": _or_none(t.rb[up], known), "node_depth": t.level, "pos": order[t.lb]}
 
     return per_document(texts, table, {c: "long" for c in ("lb", "rb", "depth", "parent_lb", "parent_rb", "node_depth", "pos")}, id_col, text_col)
 
 
+def branches(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, idx, lb, rb, depth: for each rank but the first, the node where its suffix parts from the one before."""
+
+    def table(text: str) -> dict:
+        order, lcp = suffix_array(code_points(text))
+        t = intervals_of(lcp, order)
+        at = t.at[1:]
+        return {"idx": np.arange(1, len(order)), "lb": t.lb[at], "rb": t.rb[at], "depth": t.depth[at]}
+
+    return per_document(texts, table, {c: "long" for c in ("idx", "lb", "rb", "depth")}, id_col, text_col)
+
+
 def is_leaf() -> Column:
     return F.col("lb") == F.col("rb")
 
@@ -99,42 +171,98 @@ def degrees(tree: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return tree.where("parent_lb is not null").groupBy(id_col, F.col("parent_lb").alias("lb"), F.col("parent_rb").alias("rb")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def enclosing(tree: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """spans (id, span, a, b) with the smallest node that holds ranks a to b: lb, rb, depth.
+def enclosing(tree: DataFrame, parted: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """spans (id, span, a, b) with the smallest node that holds ranks a to b: lb, rb, depth. parted: branches() of the texts.
 
-    The nodes over rank a are its leaf's ancestors; of those the lowest that reaches b is taken, so a document's span meets its nodes only.
+    It is where suffixes part least between a and b: a minimum over a range. One rank is a leaf.
     """
-    holds = tree.select(id_col, "lb", "rb", "depth").join(spans, id_col).where("lb <= a and rb >= b")
-    best = F.min_by(F.struct("lb", "rb", "depth"), F.struct(F.col("rb") - F.col("lb"), -F.col("depth")))
-    return holds.groupBy(id_col, "span", "a", "b").agg(best.alias("node")).select(id_col, "span", "a", "b", "node.*")
+    named = spans.withColumn("query", F.struct(id_col, "span"))
+    values = parted.select(id_col, "idx", F.col("depth").alias("val"))
+    least = extreme_in_ranges(values, named.where("a < b").select("query", id_col, (F.col("a") + 1).alias("l"), F.col("b").alias("r")), by=[id_col]).select(F.col(f"query.{id_col}").alias(id_col), F.col("query.span").alias("span"), "idx")
+    inner = least.join(parted, [id_col, "idx"]).select(id_col, "span", "lb", "rb", "depth")
+    leaves = spans.where("a = b").join(tree.where("lb = rb").select(id_col, F.col("lb").alias("a"), "lb", "rb", "depth"), [id_col, "a"]).select(id_col, "span", "lb", "rb", "depth")
+    return spans.join(inner.unionByName(leaves), [id_col, "span"]).select(id_col, "span", "a", "b", "lb", "rb", "depth")
 
 
-def lca(tree: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """pairs (id, span, lb, rb, other_lb, other_rb) with lca_lb, lca_rb, lca_depth."""
+def lca(tree: DataFrame, parted: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """pairs (id, span, lb, rb, other_lb, other_rb) with lca_lb, lca_rb, lca_depth; span names a pair within its text. parted: branches() of the texts."""
     spans = pairs.select(id_col, "span", F.least("lb", "other_lb").alias("a"), F.greatest("rb", "other_rb").alias("b"))
-    found = enclosing(tree, spans, id_col).select(id_col, "span", F.col("lb").alias("lca_lb"), F.col("rb").alias("lca_rb"), F.col("depth").alias("lca_depth"))
+    found = enclosing(tree, parted, spans, id_col).select(id_col, "span", F.col("lb").alias("lca_lb"), F.col("rb").alias("lca_rb"), F.col("depth").alias("lca_depth"))
     return pairs.join(found, [id_col, "span"])
 
 
-def suffix_links(tree: DataFrame, suffixes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, lb, rb, link_lb, link_rb: for inner nodes but the root and for leaves, the node of the string less its first symbol.
+def suffix_links(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lb, rb, link_lb, link_rb: for inner nodes but the root and for leaves, the node of the string less its first symbol. A link of a leaf is a leaf."""
 
-    psi takes the ends of an inner node's interval into the linked node, whose depth is one less; a link of a leaf is a leaf.
-    """
-    psi = psi_and_lf(suffixes, id_col).select(id_col, "rank", "psi")
-    inner = tree.where("depth > 0 and lb < rb")
-    ends = inner.join(psi.select(id_col, F.col("rank").alias("lb"), F.col("psi").alias("a")), [id_col, "lb"]).join(psi.select(id_col, F.col("rank").alias("rb"), F.col("psi").alias("b")), [id_col, "rb"])
-    target = tree.where("lb < rb").select(id_col, F.col("lb").alias("link_lb"), F.col("rb").alias("link_rb"), (F.col("depth") + 1).alias("depth"))
-    linked = ends.join(target, [id_col, "depth"]).where("link_lb <= a and link_rb >= b")
-    leaves = tree.where("lb = rb and depth > 1").join(psi.withColumnRenamed("rank", "lb"), [id_col, "lb"])
-    return linked.select(id_col, "lb", "rb", "link_lb", "link_rb").unionByName(leaves.select(id_col, "lb", "rb", F.col("psi").alias("link_lb"), F.col("psi").alias("link_rb")))
+    def table(text: str) -> dict:
+        order, lcp = suffix_array(code_points(text))
+        t = intervals_of(lcp, order)
+        link = links_of(t, order)
+        some = link >= 0
+        return {"lb": t.lb[some], "rb": t.rb[some], "link_lb": t.lb[link[some]], "link_rb": t.rb[link[some]]}
+
+    return per_document(texts, table, {c: "long" for c in ("lb", "rb", "link_lb", "link_rb")}, id_col, text_col)
 
 
-def weiner_links(tree: DataFrame, suffixes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def weiner_links(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lb, rb, sym, link_lb, link_rb: for every symbol that stands before suffixes of a node, the ranks of the string with it in front."""
-    lf = psi_and_lf(suffixes, id_col).select(id_col, "rank", "lf")
-    before = suffixes.join(lf, [id_col, "rank"]).where("bwt <> ''").select(id_col, "rank", F.col("bwt").alias("sym"), "lf")
-    return tree.join(before, id_col).where("rank between lb and rb").groupBy(id_col, "lb", "rb", "sym").agg(F.min("lf").alias("link_lb"), F.max("lf").alias("link_rb"))
+
+    def table(text: str) -> dict:
+        codes = code_points(text)
+        order, lcp = suffix_array(codes)
+        t = intervals_of(lcp, order)
+        node, sym, a, b = weiner_of(t, order, codes)
+        return {"lb": t.lb[node], "rb": t.rb[node], "sym": list(map(chr, sym.tolist())), "link_lb": a, "link_rb": b}
+
+    return per_document(texts, table, {"lb": "long", "rb": "long", "sym": "string", "link_lb": "long", "link_rb": "long"}, id_col, text_col)
+
+
+def select_leaf(tree: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """queries (id, query, i) with lb, rb, depth of the i-th leaf from the left (from 1); null if there are fewer."""
+    leaves = tree.where(is_leaf()).select(id_col, (F.col("lb") + 1).alias("i"), "lb", "rb", "depth")
+    return queries.join(leaves, [id_col, "i"], "left")
+
+
+def node_of_id(tree: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """queries (id, query, node_id) with the node that numbered() gives that number: lb, rb, depth; null if there is none."""
+    return queries.join(numbered(tree, id_col).select(id_col, "node_id", "lb", "rb", "depth"), [id_col, "node_id"], "left")
+
+
+def without_subtrees(tree: DataFrame, heads: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """tree in preorder, without what lies below nodes of heads (id, lb, rb), which stay: a traversal that skips their subtrees.
+
+    In preorder a node lies below the last head before it that reaches its end, so one running maximum over heads' ends decides.
+    """
+    marked = preorder(tree, id_col).join(heads.select(id_col, "lb", "rb", F.lit(True).alias("head")).distinct(), [id_col, "lb", "rb"], "left")
+    before = Window.partitionBy(id_col).orderBy("preorder").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max(F.when(F.col("head"), F.col("rb"))).over(before) >= F.col("rb"), F.lit(False))
+    return marked.withColumn("covered", covered).where("not covered").drop("covered", "head")
+
+
+def walk_edges(tree: DataFrame, texts: DataFrame, patterns: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """pattern_id, id, lb, rb: the ranks of suffixes that start with a pattern, by forward search from the root: each round follows the edge of the next symbol, and its label is compared.
+
+    Rounds are as many as a pattern passes nodes; patterns at all nodes of all texts advance together.
+    """
+    from runeframe.plans.scratch import kept
+
+    edges = kept(children(tree, texts, id_col, text_col).join(texts.select(id_col, text_col), id_col).join(tree.select(id_col, "lb", "rb", "pos"), [id_col, "lb", "rb"]))
+    edges = edges.select(id_col, F.col("parent_lb").alias("at_lb"), F.col("parent_rb").alias("at_rb"), "sym", "lb", "rb", "depth", F.col("pos").alias("_pos"), F.col(text_col).alias("_text"))
+    roots = tree.where("parent_lb is null and lb < rb").select(id_col, F.col("lb").alias("at_lb"), F.col("rb").alias("at_rb"), F.lit(0).cast("long").alias("matched"))
+    going = roots.join(F.broadcast(patterns.where("length(pattern) > 0").select("pattern_id", "pattern")))  # every pattern starts at every root
+    found = None
+    while True:
+        asked = going.withColumn("sym", F.substring(F.col("pattern"), (F.col("matched") + 1).cast("int"), F.lit(1)))
+        met = asked.join(edges, [id_col, "at_lb", "at_rb", "sym"])
+        size = F.least(F.col("depth"), F.length("pattern")) - F.col("matched")
+        label = F.substring(F.col("_text"), (F.col("_pos") + F.col("matched") + 1).cast("int"), size.cast("int"))
+        fits = met.where(label == F.substring(F.col("pattern"), (F.col("matched") + 1).cast("int"), size.cast("int")))
+        step = kept(fits.select("pattern_id", "pattern", id_col, "lb", "rb", F.least(F.col("depth"), F.length("pattern")).cast("long").alias("matched")))
+        done = step.where(F.col("matched") == F.length("pattern")).select("pattern_id", id_col, "lb", "rb")
+        found = done if found is None else found.unionByName(done)
+        going = step.where(F.col("matched") < F.length("pattern")).select(id_col, F.col("lb").alias("at_lb"), F.col("rb").alias("at_rb"), "matched", "pattern_id", "pattern")
+        if not going.limit(1).count():
+            return found
 
 
 def preorder(tree: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -179,13 +179,38 @@ def test_pointers_and_headers(spark, figures, table):
     assert sorted((r.pos, r.pattern) for r in got) == [(2, "ssi"), (8, "ppi")]
 
 
-def test_too_large_a_block_can_not_be_parsed(spark):
-    with pytest.raises(Exception, match="can't be parsed"):
-        blocks.block_table(texts(spark, ["abc"]), 4, parse=True).collect()
+def test_a_text_that_fits_in_a_block_is_one_factor(spark):
+    docs = texts(spark, ["abc", "", "aaaa", "abcd" * 5])
+    parsed = blocks.block_table(docs, 8, parse=True)
+    assert {r.doc_id: r.text for r in blocks.reconstruct(blocks.factors(parsed), blocks.blocks(parsed, docs)).collect()} == {0: "abc", 1: "", 2: "aaaa", 3: "abcd" * 5}
+    assert by_doc(blocks.factors(parsed), "factor_no", "start_pos", "depth")[0] == [(0, 0, 4)]
     with pytest.raises(ValueError):
         blocks.block_table(texts(spark, ["abc"]), 0)
 
 
+def test_edges_leaves_and_skipped_subtrees(spark):
+    words = ["mississippi", "abracadabra", "aaaa", "b"]
+    docs = texts(spark, words)
+    t = tree.nodes(docs).cache()
+    asked = spark.createDataFrame([(p, p) for p in ("ssi", "i", "a", "abra", "issippix", "b", "aaaaa", "mississippi")], "pattern_id string, pattern string")
+    expected = set()
+    for d, w in enumerate(words):
+        order = sorted(range(len(w) + 1), key=lambda i: w[i:])
+        for p in ("ssi", "i", "a", "abra", "issippix", "b", "aaaaa", "mississippi"):
+            ranks = [r for r, i in enumerate(order) if w[i:].startswith(p)]
+            expected |= {(p, d, ranks[0], ranks[-1])} if ranks else set()
+    assert set(map(tuple, tree.walk_edges(t, docs, asked).collect())) == expected
+    q = spark.createDataFrame([(0, 1, 1), (0, 2, 12), (0, 3, 13), (3, 4, 2)], "doc_id long, query long, i long")
+    assert sorted((r.query, r.lb) for r in tree.select_leaf(t, q).collect()) == [(1, 0), (2, 11), (3, None), (4, 1)]
+    ids = spark.createDataFrame([(0, 1, 0), (0, 2, 12), (0, 3, 99)], "doc_id long, query long, node_id long")
+    assert sorted((r.query, r.lb, r.rb) for r in tree.node_of_id(t, ids).collect()) == [(1, 0, 0), (2, 0, 11), (3, None, None)]
+    inner = {(r.doc_id, r.lb, r.rb) for r in t.where("lb < rb and parent_lb is not null").collect()}
+    all_nodes = {(r.doc_id, r.lb, r.rb) for r in t.collect()}
+    heads = spark.createDataFrame(sorted(inner), "doc_id long, lb long, rb long")
+    left = {(r.doc_id, r.lb, r.rb) for r in tree.without_subtrees(t, heads).collect()}
+    assert left == {x for x in all_nodes if not any(y != x and y[0] == x[0] and y[1] <= x[1] and y[2] >= x[2] for y in inner)}
+
+
 def test_factors_tile_texts(spark, figures, table):
     placed = by_doc(blocks.factor_of_position(table), "pos", "factor_no")
     f = by_doc(blocks.factors(table, fac_dens=2), "factor_no", "start_pos", "depth", "border")
@@ -232,10 +257,10 @@ def test_tree_navigation(spark):
         assert r.node_depth == len(around)
         best = min(around, key=lambda n: n[1] - n[0], default=(None, None))
         assert (r.parent_lb, r.parent_rb) == best[:2]
-    for r in tree.suffix_links(t, s).collect():
+    for r in tree.suffix_links(docs).collect():
         d = r.doc_id
         assert string(node[d, r.link_lb, r.link_rb], d) == string(node[d, r.lb, r.rb], d)[1:]
-    for r in tree.weiner_links(t, s).collect():
+    for r in tree.weiner_links(docs).collect():
         d = r.doc_id
         longer = r.sym + string(node[d, r.lb, r.rb], d)
         assert [i for i, p in enumerate(order[d]) if (values[d] + "$")[p:].startswith(longer)] == list(range(r.link_lb, r.link_rb + 1))
@@ -244,7 +269,7 @@ def test_tree_navigation(spark):
     assert Counter((r.doc_id, r.parent_lb, r.parent_rb) for r in children) == Counter(degree)
     assert all(r.sym == string(node[r.doc_id, r.lb, r.rb], r.doc_id)[node[r.doc_id, r.parent_lb, r.parent_rb][2]].replace("$", "") for r in children)
     pairs = t.where("doc_id = 0").alias("a").select("doc_id", "lb", "rb").withColumn("other_lb", F.lit(3).cast("long")).withColumn("other_rb", F.lit(3).cast("long")).withColumn("span", F.col("lb") * 100 + F.col("rb"))
-    for r in tree.lca(t, pairs).collect():
+    for r in tree.lca(t, tree.branches(docs), pairs).collect():
         around = [n for (d, _, _), n in node.items() if d == 0 and n[0] <= min(r.lb, 3) and n[1] >= max(r.rb, 3)]
         assert (r.lca_lb, r.lca_rb) == min(around, key=lambda n: n[1] - n[0])[:2]
     numbered = tree.breadth_first(tree.postorder(tree.preorder(tree.numbered(t)))).collect()
