@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,11 @@ from pyspark.sql import functions as F
 
 from runeframe.functions import text as tx
 from runeframe.operators import arrays, blocks, mining, search, sequence, stats, suffixes, tree
+from runeframe.plans.scratch import fresh_folder, kept, remove
 from runeframe.sources import logs
+from runeframe.sources.corpus import read_patterns, read_sequences, read_texts, write_patterns, write_sequence
 from runeframe.sources.store import Index
+from runeframe.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,21 +78,19 @@ def kgram_occ_between(spark, sf_dir):
 
 @query
 def kgram_grid(spark, sf_dir):
-    return mining.kgram_grid(turns(spark, sf_dir))
+    return mining.kgram_grid(documents(spark, sf_dir))
 
 
 @query
-def kgram_grid_documents(spark, sf_dir):
-    return mining.kgram_grid(documents(spark, sf_dir))
+def kgram_grid_patterns(spark, sf_dir):
+    """Up to 1000 substrings of each cell of the grid."""
+    return mining.grid_patterns(documents(spark, sf_dir))
 
 
-@query
-def pattern_count(spark, sf_dir):
-    return search.count(turns(spark, sf_dir), benchmark_words(spark, sf_dir))
 
 
 @query
-def pattern_count_documents(spark, sf_dir):
+def pattern_count(spark, sf_dir):
     return search.count(documents(spark, sf_dir), benchmark_words(spark, sf_dir))
 
 
@@ -106,12 +106,12 @@ def pattern_missing(spark, sf_dir):
 
 @query
 def pattern_batch_report(spark, sf_dir):
-    return search.batch_report(turns(spark, sf_dir), benchmark_words(spark, sf_dir))
+    return search.batch_report(documents(spark, sf_dir), benchmark_words(spark, sf_dir))
 
 
 @query
 def earliest_places(spark, sf_dir):
-    return search.first_places(turns(spark, sf_dir), benchmark_words(spark, sf_dir), 3)
+    return search.first_places(documents(spark, sf_dir), benchmark_words(spark, sf_dir), 3)
 
 
 @query
@@ -128,25 +128,51 @@ def extract_span(spark, sf_dir):
 @query
 def indexed_count(spark, sf_dir):
     """pattern_count through an index on disk."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    index = Index(spark, f"{base}/index-{uuid.uuid4().hex}", key=12).build(turns(spark, sf_dir), with_blocks=False)
-    return index.count(benchmark_words(spark, sf_dir))
+    return _through_index(spark, documents(spark, sf_dir), lambda index: index.count(benchmark_words(spark, sf_dir)))
 
 
 @query
-def matching_stats(spark, sf_dir):
-    """Each name against the name of the next part."""
-    n = names(spark, sf_dir)
-    pairs = n.select(F.col("doc_id").alias("id"), F.col("text").alias("first")).join(n.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("second")), "id")
-    return search.matching_statistics(pairs)
+def indexed_locate(spark, sf_dir):
+    """pattern_locate through an index on disk."""
+    return _through_index(spark, documents(spark, sf_dir), lambda index: index.locate(passages(spark, sf_dir)))
+
+
+@query
+def index_report(spark, sf_dir):
+    """What block prefixes alone answer of the first words of names, by an index of the names."""
+    return _through_index(spark, names(spark, sf_dir), lambda index: index.report(_first_words(spark, sf_dir)), with_blocks=True, b=B)
+
+
+def _through_index(spark, docs, ask, with_blocks=False, **options):
+    """What ask() gives for an index that is built for it and deleted then."""
+    index = Index(spark, fresh_folder(spark, "index"), **({"key": 12} | options)).build(docs, with_blocks)
+    answer = kept(ask(index))
+    remove(spark, index.base)
+    return answer
 
 
 @query
-def matching_stats_documents(spark, sf_dir):
+def places_verified(spark, sf_dir):
+    """Places of passages that the texts confirm, and the places behind them that they don't."""
+    each = search.locate(documents(spark, sf_dir), passages(spark, sf_dir)).join(passages(spark, sf_dir), "pattern_id").join(documents(spark, sf_dir), "doc_id")
+    here = lambda shift: F.count_if(search.stands_at(F.col("text"), F.col("pattern"), F.col("pos") + shift))
+    return each.groupBy("pattern_id").agg(here(0).alias("here"), here(1).alias("behind"))
+
+
+@query
+def matching_stats(spark, sf_dir):
     """Each document against all benchmark passages."""
     return search.matching_statistics_of_batch(documents(spark, sf_dir), passages(spark, sf_dir))
 
 
+@query
+def matching_stats_names(spark, sf_dir):
+    """Each name against the name of the next part."""
+    n = names(spark, sf_dir)
+    pairs = n.select(F.col("doc_id").alias("id"), F.col("text").alias("first")).join(n.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("second")), "id")
+    return search.matching_statistics(pairs)
+
+
 @query
 def border_tables(spark, sf_dir):
     return names(spark, sf_dir).select("doc_id", F.posexplode(tx.border_table("text")).alias("p", "b")).select("doc_id", F.col("p").cast("long").alias("pos"), F.col("b").cast("long").alias("border"))
@@ -213,7 +239,7 @@ def suffix_array(spark, sf_dir):
 
 @query
 def inverse_suffix_array(spark, sf_dir):
-    return suffixes.suffix_table(names(spark, sf_dir)).select("doc_id", F.col("pos").alias("at"), F.col("rank").alias("isa"))
+    return suffixes.suffix_table(turns(spark, sf_dir)).select("doc_id", F.col("pos").alias("at"), F.col("rank").alias("isa"))
 
 
 @query
@@ -226,27 +252,17 @@ def suffix_array_of_numbers(spark, sf_dir):
 
 @query
 def bwt_and_lcp(spark, sf_dir):
-    return suffixes.suffix_table(names(spark, sf_dir)).select("doc_id", "rank", "bwt", "lcp")
-
-
-@query
-def bwt_and_lcp_documents(spark, sf_dir):
-    return suffixes.suffix_table(documents(spark, sf_dir)).select("doc_id", "rank", "bwt", "lcp")
+    return suffixes.suffix_table(turns(spark, sf_dir)).select("doc_id", "rank", "bwt", "lcp")
 
 
 @query
 def psi_and_lf(spark, sf_dir):
-    return suffixes.psi_and_lf(suffixes.suffix_table(names(spark, sf_dir)))
-
-
-@query
-def psi_and_lf_documents(spark, sf_dir):
-    return suffixes.psi_and_lf(suffixes.suffix_table(documents(spark, sf_dir)))
+    return suffixes.psi_and_lf(suffixes.suffix_table(turns(spark, sf_dir)))
 
 
 @query
 def psi_three_times(spark, sf_dir):
-    return suffixes.shifted_rank(suffixes.suffix_table(names(spark, sf_dir)), 3)
+    return suffixes.shifted_rank(suffixes.suffix_table(turns(spark, sf_dir)), 3)
 
 
 @query
@@ -257,31 +273,46 @@ def suffix_array_check(spark, sf_dir):
 
 @query
 def first_row_symbols(spark, sf_dir):
-    return suffixes.first_symbol(suffixes.suffix_table(names(spark, sf_dir)))
+    return suffixes.first_symbol(suffixes.suffix_table(turns(spark, sf_dir)))
 
 
 @query
 def backward_steps(spark, sf_dir):
-    """One step of backward search from all suffixes of each name, for each of its symbols."""
-    n = names(spark, sf_dir)
+    """One step of backward search from all suffixes of each turn, for each of its symbols."""
+    n = turns(spark, sf_dir)
     asked = tx.symbols(n).select("doc_id", "sym").distinct().join(n.select("doc_id", F.lit(0).cast("long").alias("lb"), F.length("text").cast("long").alias("rb")), "doc_id").select("doc_id", "lb", "rb", "sym")
     return suffixes.backward_step(suffixes.suffix_table(n), asked)
 
 
 @query
 def bwt_rank(spark, sf_dir):
-    return sequence.ranked(suffixes.suffix_table(names(spark, sf_dir)).select("doc_id", F.col("rank").alias("pos"), F.col("bwt").alias("sym")), ["doc_id"])
+    return sequence.ranked(suffixes.suffix_table(turns(spark, sf_dir)).select("doc_id", F.col("rank").alias("pos"), F.col("bwt").alias("sym")), ["doc_id"])
+
+
+@query
+def bwt_select(spark, sf_dir):
+    """The first, second and fifth place of each symbol in the BWT of each turn."""
+    bwt = suffixes.suffix_table(turns(spark, sf_dir)).select("doc_id", F.col("rank").alias("pos"), F.col("bwt").alias("sym"))
+    asked = bwt.select("doc_id", "sym").distinct().select("doc_id", "sym", F.explode(F.array(*[F.lit(j).cast("long") for j in (1, 2, 5)])).alias("j"))
+    return sequence.select(bwt, asked, ["doc_id"])
+
+
+@query
+def pattern_intervals(spark, sf_dir):
+    """Ranks of each turn's suffixes that start with each benchmark word."""
+    t = turns(spark, sf_dir)
+    return suffixes.intervals(suffixes.suffix_table(t), t, benchmark_words(spark, sf_dir))
 
 
 @query
 def text_statistics(spark, sf_dir):
-    r = stats.bwt_repetition(suffixes.suffix_table(names(spark, sf_dir)))
+    r = stats.bwt_repetition(suffixes.suffix_table(turns(spark, sf_dir)))
     return r.select("doc_id", "n", "runs", F.round("equal_percent", 6).alias("equal_percent"), F.round("mean_lcp", 6).alias("mean_lcp"))
 
 
 @query
 def lcp_info(spark, sf_dir):
-    return stats.lcp_report(suffixes.suffix_table(names(spark, sf_dir))).withColumn("mean_lcp", F.round("mean_lcp", 6))
+    return stats.lcp_report(suffixes.suffix_table(turns(spark, sf_dir))).withColumn("mean_lcp", F.round("mean_lcp", 6))
 
 
 @query
@@ -307,12 +338,12 @@ def entropy_hk(spark, sf_dir):
 
 @query
 def lcp_entropy(spark, sf_dir):
-    return stats.entropy_of(suffixes.suffix_table(names(spark, sf_dir)), "lcp").withColumn("h0", F.round("h0", 6))
+    return stats.entropy_of(suffixes.suffix_table(turns(spark, sf_dir)), "lcp").withColumn("h0", F.round("h0", 6))
 
 
 @query
 def suffix_dump(spark, sf_dir):
-    n = names(spark, sf_dir)
+    n = turns(spark, sf_dir)
     t = suffixes.suffix_table(n)
     return stats.dump(t, suffixes.psi_and_lf(t), n, 5)
 
@@ -416,8 +447,8 @@ def greedy_parse(spark, sf_dir):
 
 @query
 def greedy_parse_documents(spark, sf_dir):
-    """Documents with over 8 symbols (no others can be parsed), in blocks of 8 suffixes."""
-    return blocks.factors(blocks.block_table(documents(spark, sf_dir).where("length(text) > 8"), 8, parse=True), fac_dens=2)
+    """Documents in blocks of 8 suffixes."""
+    return blocks.factors(blocks.block_table(documents(spark, sf_dir), 8, parse=True), fac_dens=2)
 
 
 @query
@@ -445,8 +476,8 @@ def reconstruct_text(spark, sf_dir):
 
 @query
 def reconstruct_turns(spark, sf_dir):
-    """Turns of conversations with over 8 symbols, parsed into blocks of 8 suffixes and put together again."""
-    t = turns(spark, sf_dir).where("length(text) > 8")
+    """Turns of conversations, parsed into blocks of 8 suffixes and put together again."""
+    t = turns(spark, sf_dir)
     parsed = blocks.block_table(t, 8, parse=True)
     return blocks.reconstruct(blocks.factors(parsed), blocks.blocks(parsed, t))
 
@@ -487,25 +518,71 @@ def tree_labels(spark, sf_dir):
     return tree.nodes(n).join(n, "doc_id").select("doc_id", "lb", "rb", tree.label(F.col("text")).alias("label"), tree.edge_symbol(F.col("text"), 1).alias("first"))
 
 
+def _leaf_pairs(t):
+    """Each leaf and the next but one."""
+    leaves = t.where("lb = rb").select("doc_id", F.col("lb").alias("span"), "lb", "rb", (F.col("lb") + 2).alias("other_lb"), (F.col("lb") + 2).alias("other_rb"))
+    return leaves.join(t.where("lb = rb").select("doc_id", F.col("lb").alias("other_lb")), ["doc_id", "other_lb"], "left_semi")
+
+
 @query
 def tree_lca(spark, sf_dir):
-    """The lowest common ancestor of each leaf and the next but one."""
-    t = tree.nodes(names(spark, sf_dir))
-    leaves = t.where("lb = rb").select("doc_id", F.col("lb").alias("span"), "lb", "rb", (F.col("lb") + 2).alias("other_lb"), (F.col("lb") + 2).alias("other_rb"))
-    known = t.where("lb = rb").select("doc_id", F.col("lb").alias("other_lb"))
-    return tree.lca(t, leaves.join(known, ["doc_id", "other_lb"], "left_semi")).select("doc_id", "span", "lca_lb", "lca_rb", "lca_depth")
+    """The lowest common ancestor of each leaf and the next but one, in the trees of turns."""
+    n = turns(spark, sf_dir)
+    t = tree.nodes(n)
+    return tree.lca(t, tree.branches(n), _leaf_pairs(t)).select("doc_id", "span", "lca_lb", "lca_rb", "lca_depth")
+
+
+@query
+def tree_nodes_turns(spark, sf_dir):
+    return tree.nodes(turns(spark, sf_dir)).select("doc_id", "lb", "rb", "depth", "node_depth", "parent_lb", "parent_rb")
 
 
 @query
 def tree_suffix_links(spark, sf_dir):
-    n = names(spark, sf_dir)
-    return tree.suffix_links(tree.nodes(n), suffixes.suffix_table(n))
+    return tree.suffix_links(names(spark, sf_dir))
+
+
+@query
+def tree_suffix_links_documents(spark, sf_dir):
+    return tree.suffix_links(documents(spark, sf_dir))
 
 
 @query
 def tree_weiner_links(spark, sf_dir):
+    return tree.weiner_links(names(spark, sf_dir))
+
+
+@query
+def tree_weiner_links_documents(spark, sf_dir):
+    return tree.weiner_links(documents(spark, sf_dir))
+
+
+@query
+def tree_walk(spark, sf_dir):
+    """Forward search of the first words of names in the tree of each name."""
+    n = names(spark, sf_dir)
+    return tree.walk_edges(tree.nodes(n), n, _first_words(spark, sf_dir))
+
+
+@query
+def tree_select_leaf(spark, sf_dir):
+    """The third leaf of each name's tree."""
+    n = names(spark, sf_dir)
+    return tree.select_leaf(tree.nodes(n), n.select("doc_id", F.lit(1).alias("query"), F.lit(3).cast("long").alias("i"))).select("doc_id", "i", "lb", "rb", "depth")
+
+
+@query
+def tree_inv_id(spark, sf_dir):
+    """The node that has the number of suffixes as its own: the first inner one."""
     n = names(spark, sf_dir)
-    return tree.weiner_links(tree.nodes(n), suffixes.suffix_table(n))
+    return tree.node_of_id(tree.nodes(n), n.select("doc_id", F.lit(1).alias("query"), (F.length("text") + 1).cast("long").alias("node_id"))).select("doc_id", "node_id", "lb", "rb", "depth")
+
+
+@query
+def tree_skipped(spark, sf_dir):
+    """Each name's tree without what lies below nodes of depth 1."""
+    t = tree.nodes(names(spark, sf_dir))
+    return tree.without_subtrees(t, t.where("depth = 1 and lb < rb")).select("doc_id", "lb", "rb")
 
 
 @query
@@ -519,6 +596,22 @@ def tree_parentheses(spark, sf_dir):
     return arrays.enclosing_pairs(p.select("doc_id", "idx", "bit"), ["doc_id"])
 
 
+def _opening(spark, sf_dir):
+    """Parentheses of the trees of names, and pairs of openings of each leaf and the next but one."""
+    t = tree.nodes(names(spark, sf_dir))
+    p = tree.parentheses(t)
+    opens = p.where("bit = 1").join(tree.numbered(t).where("lb = rb").select("doc_id", "node_id", F.col("lb").alias("leaf")), ["doc_id", "node_id"]).select("doc_id", "leaf", "idx")
+    pairs = opens.select("doc_id", F.col("leaf").alias("query"), F.col("idx").alias("i")).join(opens.select("doc_id", (F.col("leaf") - 2).alias("query"), F.col("idx").alias("j")), ["doc_id", "query"])
+    return p.select("doc_id", "idx", "bit"), pairs
+
+
+@query
+def double_enclose(spark, sf_dir):
+    """The narrowest pair around each leaf and the next but one, and the widest that holds the second alone."""
+    p, pairs = _opening(spark, sf_dir)
+    return arrays.double_enclosing(p, pairs, ["doc_id"])
+
+
 @query
 def tree_parentheses_documents(spark, sf_dir):
     return tree.parentheses(tree.nodes(documents(spark, sf_dir))).select("doc_id", "idx", "bit")
@@ -568,7 +661,9 @@ def count_lex_smaller(spark, sf_dir):
 def range_search_2d(spark, sf_dir):
     """Lines in boxes of places and quantities; lines in the order of order and number."""
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").alias("sym"))
-    boxes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query"), (F.col("n_nationkey").cast("long") * 900).alias("i"), (F.col("n_nationkey").cast("long") * 900 + 700).alias("j"), F.col("n_nationkey").cast("double").alias("low"), (F.col("n_nationkey") + 5).cast("double").alias("high"))
+    step = F.floor(F.col("last") / 25)
+    ends = lines.agg(F.max("pos").alias("last"))  # boxes follow the table: a nation each 25th of the places
+    boxes = table(spark, sf_dir, "nation").join(F.broadcast(ends)).select(F.col("n_nationkey").cast("long").alias("query"), (F.col("n_nationkey") * step).alias("i"), (F.col("n_nationkey") * step + F.floor(step / 4)).alias("j"), F.col("n_nationkey").cast("double").alias("low"), (F.col("n_nationkey") + 5).cast("double").alias("high"))
     return sequence.range_search_2d(lines, boxes)
 
 
@@ -630,6 +725,12 @@ def psv_nsv(spark, sf_dir):
     return arrays.smaller_neighbours(_user_values(spark, sf_dir), ["user_id"])
 
 
+@query
+def psv_nsv_check(spark, sf_dir):
+    """Values whose neighbour isn't smaller, or between which and their neighbours a smaller one lies."""
+    return arrays.bad_neighbours(_user_values(spark, sf_dir), arrays.smaller_neighbours(_user_values(spark, sf_dir), ["user_id"]), ["user_id"]).agg(F.count(F.lit(1)).alias("bad"))
+
+
 @query
 def rmq_descent(spark, sf_dir):
     return arrays.descent(_user_values(spark, sf_dir), ["user_id"])
@@ -662,6 +763,112 @@ def louds_bits(spark, sf_dir):
     return arrays.louds(_places(spark, sf_dir))
 
 
+# ---- files and streams
+
+
+@query
+def pattern_file(spark, sf_dir):
+    """sampled_patterns through a file of patterns."""
+    place = fresh_folder(spark, "patterns")
+    write_patterns(sampled_patterns(spark, sf_dir), place)
+    back = kept(read_patterns(spark, place))
+    remove(spark, place)
+    return back
+
+
+@query
+def text_files(spark, sf_dir):
+    """The first symbols of files of text, one for each nation."""
+    place = fresh_folder(spark, "texts")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(" - a nation")).alias("value"))
+    nations.repartition("n_nationkey").write.partitionBy("n_nationkey").text(place)
+    back = kept(read_texts(spark, f"{place}/*/*.txt", limit=20).select("text"))
+    remove(spark, place)
+    return back
+
+
+@query
+def number_files(spark, sf_dir):
+    """A file of numbers of four bytes, written by column and read as a sequence."""
+    place = fresh_folder(spark, "numbers")
+    write_sequence(user_sequence(spark, sf_dir), place, 4)
+    back = kept(read_sequences(spark, place, 4).select("pos", "sym"))
+    remove(spark, place)
+    return back
+
+
+def _streamed(spark, updates, keys):
+    """What an update stream over all events says in the end."""
+    place = fresh_folder(spark, "stream")
+    windows.store_latest(updates, keys, f"{place}/out", f"{place}/state").awaitTermination()
+    back = kept(windows.latest(spark.read.parquet(f"{place}/out"), keys))
+    remove(spark, place)
+    return back
+
+
+def _event_stream(spark, sf_dir):
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+
+
+@query
+def stream_window_counts(spark, sf_dir):
+    """Events by type and day, as a stream with a watermark."""
+    counts = windows.window_counts(_event_stream(spark, sf_dir), "1 day", "2 hours", ["event_type"])
+    return _streamed(spark, counts.withColumn("start", F.date_format("start", "yyyy-MM-dd")), ["event_type", "start"])
+
+
+@query
+def stream_runs(spark, sf_dir):
+    """Runs of one type of event of each user, as a stream with state of its own."""
+    return _streamed(spark, windows.running_runs(_event_stream(spark, sf_dir), "user_id", "event_type", "event_id"), ["user_id"])
+
+
+# ---- what SQL engines do beside
+
+
+@query
+def documents_cube(spark, sf_dir):
+    """Documents and symbols by language and source, by either, and in all."""
+    d = table(spark, sf_dir, "documents").cube("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text").cast("long")).alias("symbols"), F.grouping_id().cast("long").alias("level"))
+    return d.select("lang", "source", "level", "docs", "symbols")
+
+
+@query
+def documents_rollup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.grouping_id().cast("long").alias("level"))
+    return d.select("lang", "source", "level", "docs")
+
+
+@query
+def kgram_sets(spark, sf_dir):
+    """Distinct 8-grams that turns and passages share, those of passages alone, and all, by count and least."""
+    t, b = tx.kgrams(turns(spark, sf_dir), 8).select("gram"), tx.kgrams(passages(spark, sf_dir).select(F.col("pattern_id").alias("doc_id"), F.col("pattern").alias("text")), 8).select("gram")
+    out = None
+    for name, part in (("both", t.intersect(b)), ("passages", b.exceptAll(t).distinct().exceptAll(t.distinct())), ("any", t.union(b).distinct())):
+        here = part.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("grams"), F.min("gram").alias("least"))
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
+@query
+def scalar_functions(spark, sf_dir):
+    """Dates, intervals, decimals, maps and JSON over orders and events."""
+    o = table(spark, sf_dir, "orders")
+    due = F.to_date(F.col("o_orderdate") + F.expr("interval 1 month"))
+    priorities = F.create_map(F.lit("1-URGENT"), F.lit(1), F.lit("2-HIGH"), F.lit(2))
+    return o.groupBy(F.date_format(F.date_trunc("quarter", "o_orderdate"), "yyyy-MM-dd").alias("quarter")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"), F.sum(F.datediff(due, F.to_date("o_orderdate")).cast("long")).alias("days"), F.date_format(F.max(due), "yyyy-MM-dd").alias("last_due"),
+        F.sum(F.coalesce(F.try_element_at(priorities, F.col("o_orderpriority")), F.lit(9)).cast("long")).alias("priority"), F.count_if(F.dayofweek("o_orderdate") == 1).alias("sundays"),
+    )
+
+
+@query
+def json_values(spark, sf_dir):
+    """The properties of events as maps, summed up by type."""
+    e = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "map<string,long>").alias("m"))
+    return e.select("event_type", F.explode("m").alias("key", "val")).groupBy("event_type", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("total"), F.max("val").alias("most"))
+
+
 # ---- logs
 
 

@@ -42,6 +42,26 @@ def read_sequences(spark: SparkSession, path: str, num_bytes: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, pos long, sym long")
 
 
+def write_sequence(seq: DataFrame, path: str, num_bytes: int) -> None:
+    """Writes a sequence (pos, sym) as a file of little-endian numbers, by the driver, which holds a partition at a time."""
+    if num_bytes not in (1, 2, 4, 8):
+        raise ValueError("num_bytes must be 1, 2, 4 or 8")
+    spark, target = seq.sparkSession, path.rstrip("/") + "/sequence.bin"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(target)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        part: list[int] = []
+        for row in seq.select("sym").orderBy("pos").toLocalIterator():  # one partition at a time
+            part.append(row.sym)
+            if len(part) == 500_000:
+                stream.write(bytearray(np.array(part, dtype=f"<u{num_bytes}").tobytes()))
+                part = []
+        stream.write(bytearray(np.array(part, dtype=f"<u{num_bytes}").tobytes()))
+    finally:
+        stream.close()
+
+
 def write_patterns(patterns: DataFrame, path: str, swaps: int = 0) -> None:
     """Patterns of one length with their header: how many, how long, how many swaps made them."""
     lengths = patterns.agg(F.count(F.lit(1)).alias("cnt"), F.min(F.length("pattern")).alias("least"), F.max(F.length("pattern")).alias("most")).first()

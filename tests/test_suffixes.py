@@ -305,10 +305,15 @@ def test_parentheses_of_trees(spark):
         else:
             expected[stack.pop()][0] = i
     assert {r.open: [r.close, r.enclose] for r in got} == expected
-    asked = spark.createDataFrame([(0, 0, 1, 3), (0, 1, 3, 5)], "doc_id long, query long, i long, j long")
-    for r in arrays.double_enclosing(p.select("doc_id", "idx", "bit"), asked, ["doc_id"]).collect():
-        around = [o for o, (c, _) in expected.items() if r.j in expected and o < r.i and c > expected[r.j][0]]
-        assert r.double_enclose == max(around, default=None) or r.j not in expected
+    opens = sorted(expected)
+    pairs = [(0, 1000 * i + j, i, j) for i in opens for j in opens if i < j]
+    found = arrays.double_enclosing(p.select("doc_id", "idx", "bit"), spark.createDataFrame(pairs, "doc_id long, query long, i long, j long"), ["doc_id"]).collect()
+    assert len(found) == len(pairs)
+    for r in found:
+        end = {o: c for o, (c, _) in expected.items()}
+        assert r.double_enclose == max((o for o in opens if o < r.i and end[o] > max(end[r.i], end[r.j])), default=None)
+        assert r.rr_enclose == min((o for o in opens if end[r.i] < o < r.j and end[o] > end[r.j]), default=None)
+
 
 
 def test_parentheses_join_no_nodes_with_each_other(spark):
