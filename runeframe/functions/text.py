@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,27 @@ def kgrams(texts: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "te
     return each.select(id_col, (F.col("start") + F.col("at")).alias("pos"), "gram")
 
 
+def rolling_hashes(codes: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """k, low, high for each length: 128 bits for the k symbols from each place on, where there are so many."""
+    sums = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        base = np.full(len(codes) + 1, seed | 5, dtype=np.uint64)
+        back = np.full(len(codes) + 1, pow(seed | 5, -1, 2**64), dtype=np.uint64)
+        base[0] = back[0] = 1
+        total = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(seed)) * np.multiply.accumulate(base)[:-1], out=total[1:])
+        sums.append((total, np.multiply.accumulate(back)))
+    for k in lengths:
+        n = max(0, len(codes) - k + 1)
+        yield k, *(_mixed((total[k : k + n] - total[:n]) * back[:n]) for total, back in sums)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 def symbols(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, pos (long), sym: every code point."""
     return texts.where(F.length(text_col) > 0).select(id_col, F.posexplode(F.split(text_col, "")).alias("p", "sym")).select(id_col, F.col("p").cast("long").alias("pos"), "sym")

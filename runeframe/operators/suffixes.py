@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeframe.functions.text import SENTINEL
+from runeframe.plans.sizing import spread
 
 #: Rows of a batch of results.
 ROWS = 200_000
@@ -183,36 +183,34 @@ def intervals(suffixes: DataFrame, texts: DataFrame, patterns: DataFrame, id_col
 
 def index_rows(docs: DataFrame, key: int) -> DataFrame:
     """doc_id, pos, key: every suffix by its first key symbols (fewer at the end of a text)."""
-    from runeframe.functions.text import SMALL, pieces
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    cut = pieces(docs.select("doc_id", "text"), key - 1)
-    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(SMALL))), lambda i: F.substring(F.col("piece"), i, F.lit(key)))
-    each = cut.select("doc_id", "start", F.posexplode(heads).alias("at", "key"))
-    return each.select("doc_id", (F.col("start") + F.col("at")).alias("pos"), "key")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for at in range(0, len(text or ""), ROWS):
+                    n = min(ROWS, len(text) - at)
+                    ids = batch.column(0).take(pa.array(np.full(n, i)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(at, at + n)), pa.array([text[p : p + key] for p in range(at, at + n)], pa.string())], names=["doc_id", "pos", "key"])
+
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, pos long, key string")
 
 
-#: Ranges of keys that a look-up pushes to the scan at most; nearer ones are joined.
-RANGES = 64
 #: Above every symbol.
 LAST = "\U0010ffff"
 
 
-def key_ranges(patterns: list[str], key: int) -> list[tuple[str, str]]:
-    """Ranges of keys, ends included, that hold all those that start with a pattern's first key symbols, RANGES at most."""
-    out: list[tuple[str, str]] = []
-    for q in sorted({p[:key] for p in patterns}):
-        if out and q <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], q + LAST)
-        else:
-            out.append((q, q + LAST))
-    step = -(-len(out) // RANGES) or 1
-    return [(out[i][0], out[min(i + step, len(out)) - 1][1]) for i in range(0, len(out), step)]
+def in_range(index: DataFrame, patterns: list[str], key: int) -> DataFrame:
+    """The part of an index from the first to the last key that a pattern can start; scans skip what lies outside. patterns: ascending."""
+    return index.where(F.col("key").between(patterns[0][:key], max(p[:key] + LAST for p in patterns))) if patterns else index.limit(0)
 
 
-def _near(index: DataFrame, patterns: list[str], key: int) -> DataFrame:
-    """The part of an index that the scan can't rule out."""
-    some = [F.col("key").between(low, high) for low, high in key_ranges(patterns, key)]
-    return index.where(reduce(Column.__or__, some)) if some else index.limit(0)
+def can_hold(low: str, high: str, patterns: list[str], key: int) -> bool:
+    """Whether keys from low to high can start with one of the patterns (ascending), or with its first key symbols."""
+    from_here = bisect_left(patterns, low)
+    if from_here < len(patterns) and patterns[from_here][:key] <= high:
+        return True
+    return any(i < len(patterns) and patterns[i][:key] == low[:m] for m in range(1, len(low) + 1) for i in (bisect_left(patterns, low[:m]),))
 
 
 def _bounds(keys: list[str], patterns: list[str], lows: list[str], key: int) -> Iterator[tuple[int, int, int]]:
@@ -238,7 +236,7 @@ def count_in_index(index: DataFrame, patterns: list[str], key: int) -> DataFrame
                 total[k] = total.get(k, 0) + b - a
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
 
-    return _near(index.select("key"), patterns, key).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return in_range(index.select("key"), patterns, key).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 def locate_in_index(index: DataFrame, patterns: list[str], key: int) -> DataFrame:
@@ -255,11 +253,11 @@ def locate_in_index(index: DataFrame, patterns: list[str], key: int) -> DataFram
                 rows = order[a:b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, k, "<i4")), batch.column(0).take(rows), batch.column(1).take(rows)], names=["k", "doc_id", "pos"])
 
-    return _near(index.select("doc_id", "pos", "key"), patterns, key).mapInArrow(run, f"k int, doc_id {kind}, pos long")
+    return in_range(index.select("doc_id", "pos", "key"), patterns, key).mapInArrow(run, f"k int, doc_id {kind}, pos long")
 
 
-def look_up(index: DataFrame, docs: DataFrame, patterns: DataFrame, key: int) -> DataFrame:
-    """pattern_id, doc_id, pos through an index of index_rows(): the scan reads ranges of keys, which files sorted by key skip to; patterns find
+def look_up(index: DataFrame, docs: DataFrame, patterns: DataFrame, key: int, near: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
+    """pattern_id, doc_id, pos through an index of index_rows(); near gives the part of it that can hold patterns (ascending; the whole index otherwise). Patterns find
     their places in ascending keys by halving. For patterns longer than key that gives candidates, and the text decides. A batch that is too large for a task is joined on its keys instead."""
     from runeframe.operators.search import keys_at, level_of, numbered
 
@@ -268,7 +266,7 @@ def look_up(index: DataFrame, docs: DataFrame, patterns: DataFrame, key: int) ->
     if few:
         known, ids = sorted(few[0]), patterns.where("length(pattern) > 0").select("pattern_id", "pattern")
         places = F.broadcast(patterns.sparkSession.createDataFrame(list(enumerate(known)), "k int, pattern string"))
-        hits = locate_in_index(index, known, key).join(places, "k")
+        hits = locate_in_index(near(known) if near else index, known, key).join(places, "k")
         short = hits.where(F.length("pattern") <= key)
         long = hits.where(F.length("pattern") > key).join(docs.select("doc_id", "text"), "doc_id").where(here) if any(len(p) > key for p in known) else hits.limit(0)
         return short.select("pattern", "doc_id", "pos").unionByName(long.select("pattern", "doc_id", "pos")).join(F.broadcast(ids), "pattern").select("pattern_id", "doc_id", "pos")
@@ -282,7 +280,7 @@ def look_up(index: DataFrame, docs: DataFrame, patterns: DataFrame, key: int) ->
     return short.unionByName(long)
 
 
-def count_up(index: DataFrame, docs: DataFrame, patterns: DataFrame, key: int) -> DataFrame:
+def count_up(index: DataFrame, docs: DataFrame, patterns: DataFrame, key: int, near: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
     """pattern_id, occurrences of patterns with symbols, those that occur, through an index. Patterns up to key symbols are counted on keys alone."""
     from runeframe.operators.search import numbered
 
@@ -291,8 +289,8 @@ def count_up(index: DataFrame, docs: DataFrame, patterns: DataFrame, key: int) -
         return look_up(index, docs, patterns, key).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("occurrences"))
     short = sorted(p for p in few[0] if len(p) <= key)
     places = F.broadcast(patterns.sparkSession.createDataFrame(list(enumerate(short)), "k int, pattern string"))
-    found = count_in_index(index, short, key).join(places, "k").join(F.broadcast(patterns.select("pattern_id", "pattern")), "pattern").select("pattern_id", F.col("n").alias("occurrences"))
+    found = count_in_index(near(short) if near else index, short, key).join(places, "k").join(F.broadcast(patterns.select("pattern_id", "pattern")), "pattern").select("pattern_id", F.col("n").alias("occurrences"))
     if len(short) == len(few[0]):
         return found
-    long = look_up(index, docs, patterns.where(F.length("pattern") > key), key).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    long = look_up(index, docs, patterns.where(F.length("pattern") > key), key, near).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("occurrences"))
     return found.unionByName(long)
