@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from runeframe.llm.common import quoted
 
 #: Characters of a chunk, and how far it reaches beyond either end of it (less than half a chunk). Texts are cut twice, as offsets are found by walking along: first to so many chunks.
-CHUNK, OVERLAP, AT_ONCE = 4096, 256, 16
+CHUNK, OVERLAP, AT_ONCE = 8192, 256, 8
 #: Pieces kept by a worker, and characters of the longest piece kept.
 CACHE, CACHED_CHARS = 200_000, 64
 #: Characters of text in a batch of results.
@@ -45,13 +45,17 @@ class Codec:
         self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self._find_all = regex.compile(pattern).findall
         self._tokens: list[bytes] = [b""] * (max(table.values()) + 1)
+        #: How ids travel.
+        self.kind = "<u2" if len(self._tokens) <= 1 << 16 else "<i4"
         for token, rank in table.items():
             self._tokens[rank] = token
         encode_piece = self._encoding._encode_single_piece
 
+        kind = self.kind
+
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
-                ids = np.array(encode_piece(piece), dtype="<i4").tobytes()
+                ids = np.array(encode_piece(piece), dtype=kind).tobytes()
                 if len(piece) <= CACHED_CHARS:
                     if len(self) >= CACHE:
                         self.clear()
@@ -64,11 +68,14 @@ class Codec:
         return self._find_all(text)
 
     def ids(self, pretokens: list[str]) -> bytes:
-        """Ids of pre-tokens, as little-endian numbers of four bytes."""
+        """Ids of pre-tokens, as little-endian numbers."""
         return b"".join(map(self._pieces.__getitem__, pretokens))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.ids(self.pretokens(text)), dtype="<i4")
+        return self.numbers(self.ids(self.pretokens(text)))
+
+    def numbers(self, ids: bytes) -> np.ndarray:
+        return np.frombuffer(ids, dtype=self.kind).astype("<i4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) and not 0 <= ids.min() <= ids.max() < len(self._tokens):
@@ -98,7 +105,8 @@ def cut(texts: DataFrame) -> DataFrame:
     each = wide.select("id", "name", "n", "from", "part", F.explode(F.sequence(F.col("b") * AT_ONCE, last)).alias("k"))
     at = F.greatest(F.col("k") * CHUNK - OVERLAP, F.lit(0))
     rows = each.select("id", "name", "k", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), at.alias("at"), F.substring("part", at - F.col("from") + 1, (F.col("k") + 1) * CHUNK + OVERLAP - at).alias("chunk"))
-    return rows.groupBy("name", "k").agg(*[F.first(c).alias(c) for c in ("chunks", "id", "at", "chunk")], F.count(F.lit(1)).alias("copies"))
+    # name is never null; said here, so that what joins by it reads the same exchange as what doesn't
+    return rows.where("name is not null").groupBy("name", "k").agg(*[F.first(c).alias(c) for c in ("chunks", "id", "at", "chunk")], F.count(F.lit(1)).alias("copies"))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
@@ -161,7 +169,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, id_col:
     def collect(table: pa.Table) -> pa.Table:
         codec, table = _codec(ranks.value, pattern), table.sort_by("k")
         parts, own = table.column("part").to_pylist(), table.column("own").to_pylist()
-        ids = codec.encode("".join(own)) if None in parts else np.frombuffer(b"".join(parts), dtype="<i4")
+        ids = codec.encode("".join(own)) if None in parts else codec.numbers(b"".join(parts))
         key = table.column("id").slice(0, 1).combine_chunks()
         return pa.table([*rows([ids], key.chunk(0) if isinstance(key, pa.ChunkedArray) else key, codec), table.column("copies").slice(0, 1)], names=["id", "ids", "decoded", "copies"])
 
