@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runeframe.plans.scratch import kept
+
 # What separates words, and what a word is.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,14 +76,5 @@ def key_range(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; only where it names none (tests, a laptop), a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+#: df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
+settled = kept

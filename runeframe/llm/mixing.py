@@ -96,7 +96,7 @@ def mix_sources(
 def mixed_rows(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken whole, and for the rest once more with the first words of its text, joined by blanks.
 
-    Columns are those of docs. Rows of size 0 don't appear.
+    Columns are those of docs, whatever their names. Rows of size 0 (null and empty texts) don't appear; repeated rows appear each as often as it is taken; a null source is a source; an empty table gives no rows.
     """
     mixed = mix_sources(docs, text_col=text_col, **options).where("taken > 0")
     whole, rest = F.expr("cast(taken div size as int)"), F.expr("cast(taken % size as int)")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runeframe.llm import bpe, line_dedup, mixing, ngram_join, pii, quality, sharding, substring_dedup, token_counts, topk
-from runeframe.llm.common import checkpoint_dir, n_words, settled, table
+from runeframe.llm.common import n_words, settled, table
 from runeframe.llm.oracle import ORACLE
+from runeframe.plans.scratch import fresh_folder
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +81,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(docs.select(key, "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, id_col="key", decode=False)
     counted = settled(coded.select("id.*", F.size("ids").cast("long").alias("tokens")))  # narrow rows: texts are encoded once for all commits
     first, second, short = F.col("tokens"), F.col("pieces"), F.col("words") < 10
-    rollup = token_counts.TokenRollup(spark, f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup = token_counts.TokenRollup(spark, fresh_folder(spark, "rollup"))
     rollup.commit("insert", token_counts.inserted(counted, "bpe-1", first))
     rollup.commit("short", token_counts.deleted(counted.where(short), "bpe-1", first))
     rollup.commit("short", token_counts.deleted(counted.where(short), "bpe-1", first))
     rollup.commit("recount", token_counts.revised(counted.where(~short), ("bpe-1", first), ("pieces-2", second)))
-    return rollup.totals()
+    totals = settled(rollup.totals())
+    rollup.delete()
+    return totals
 
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -25,7 +25,8 @@ def stratified_shards(
     Row counts of shards differ by one at most; slots run from 0 without gaps in each shard. A null source is a
     source of its own; a null id has a key like any id; a null text has 0 bytes. Repeated rows keep their number and
     lie side by side. Rows that agree in source, id, size and checksum may swap places. An empty table gives no rows.
-    Column names of the input can't clash: they stay inside row.
+    Column names of the input can't clash: they stay inside row. Rows of equal text, the groups of the law by rows, are dealt like any others: their place
+    is their key's, so a group is spread as evenly as its source is, and no shard gets more of it than its share.
     """
     text, carried = quoted(text_col), docs.columns if carry is None else carry
     base = docs.select(
@@ -78,6 +79,6 @@ def stratified_shards(
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, **options) -> None:
-    """Writes the rows of docs under path, one folder for each shard, in the order of their slots."""
+    """Writes the rows of docs under path, one folder for each shard, in the order of their slots. Null texts, repeated rows and columns of any name are written as they are; an empty table leaves no folder of a shard."""
     shards = stratified_shards(docs, n_shards, **options)
     shards.repartition("shard").sortWithinPartitions("shard", "slot").select("shard", "slot", "row").write.partitionBy("shard").parquet(path)
