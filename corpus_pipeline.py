@@ -1,15 +1,19 @@
-"""From raw documents to token ids: five stages, each over all that the one before it kept."""
+"""From raw documents to token ids: five stages, each over all that the one before it kept.
+
+In every stage null and empty texts have no words and fail the quality rules, so they go first; repeated rows are judged alike, and one of them stays behind the join; null ids and sources are values like
+others; an empty table gives an empty one; columns beside those of documents stay what they are up to the last stage.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runeframe.llm import bpe, line_dedup, mixing, ngram_join, quality
-from runeframe.llm.common import checkpoint_dir, table
+from runeframe.llm.common import table
+from runeframe.plans.scratch import fresh_folder, remove
 
 #: Near duplicates: words of a shingle, and per cent of the union that two documents must share.
 SHINGLE, SIMILAR = 5, 80
@@ -61,10 +65,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again by the next."""
-    place = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage returns is written to the shared folder, read again by the next, and deleted when that one has written. The last reads what is left there."""
+    place, docs = fresh_folder(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            remove(spark, f"{place}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
