@@ -16,6 +16,10 @@ from runeframe.operators.arrays import extreme_in_ranges
 from runeframe.operators.suffixes import code_points, per_document, suffix_array
 
 
+#: Ranks of a cell where spans of ranks are asked for: most spans are short.
+SPAN = 64
+
+
 def smaller_left(v: np.ndarray) -> np.ndarray:
     """For each place the last one before it with a smaller value; -1 if there is none. A place that isn't smaller hands on to where it looks itself."""
     p, going = np.arange(-1, len(v) - 1), np.arange(1, len(v))
@@ -178,7 +182,7 @@ def enclosing(tree: DataFrame, parted: DataFrame, spans: DataFrame, id_col: str
     """
     named = spans.withColumn("query", F.struct(id_col, "span"))
     values = parted.select(id_col, "idx", F.col("depth").alias("val"))
-    least = extreme_in_ranges(values, named.where("a < b").select("query", id_col, (F.col("a") + 1).alias("l"), F.col("b").alias("r")), by=[id_col]).select(F.col(f"query.{id_col}").alias(id_col), F.col("query.span").alias("span"), "idx")
+    least = extreme_in_ranges(values, named.where("a < b").select("query", id_col, (F.col("a") + 1).alias("l"), F.col("b").alias("r")), by=[id_col], width=SPAN).select(F.col(f"query.{id_col}").alias(id_col), F.col("query.span").alias("span"), "idx")
     inner = least.join(parted, [id_col, "idx"]).select(id_col, "span", "lb", "rb", "depth")
     leaves = spans.where("a = b").join(tree.where("lb = rb").select(id_col, F.col("lb").alias("a"), "lb", "rb", "depth"), [id_col, "a"]).select(id_col, "span", "lb", "rb", "depth")
     return spans.join(inner.unionByName(leaves), [id_col, "span"]).select(id_col, "span", "a", "b", "lb", "rb", "depth")
