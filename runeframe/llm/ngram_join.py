@@ -33,7 +33,7 @@ from runeframe.llm.hashing import BUCKETS, bucket_cuts, grams, joined, mix, pack
 
 PRINT_BITS = 48
 #: Grams in a batch that is sent at once; documents in it, so that 16 bits name one.
-BATCH, BATCH_DOCS = 1_000_000, 60_000
+BATCH, BATCH_DOCS = 400_000, 60_000
 #: Leaders of a group in a round; rounds with leaders, at most, before all open pairs are compared; ranges of prints that the suffix filter counts in.
 LEADERS, ROUNDS, RANGES = 8, 6, 32
 #: Rows of a group that one part of a join takes; beyond, a group is dealt to several.
