@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runeframe.functions import text as tx
-from runeframe.operators import arrays, blocks, mining, search, sequence, stats, suffixes, tree
+from runeframe.operators import arrays, blocks, mining, onetext, search, sequence, stats, suffixes, tree
 from runeframe.plans.scratch import fresh_folder, kept, remove
 from runeframe.sources import logs
 from runeframe.sources.corpus import read_patterns, read_sequences, read_texts, write_patterns, write_sequence
@@ -237,6 +237,12 @@ def suffix_array(spark, sf_dir):
     return suffixes.suffix_table(turns(spark, sf_dir)).select("doc_id", "rank", "pos")
 
 
+@query
+def suffix_array_of_one_text(spark, sf_dir):
+    """All documents joined to one text in the order of their ids. SQL can't sort its suffixes in time."""
+    return onetext.suffix_array_of_pieces(documents(spark, sf_dir))
+
+
 @query
 def inverse_suffix_array(spark, sf_dir):
     return suffixes.suffix_table(turns(spark, sf_dir)).select("doc_id", F.col("pos").alias("at"), F.col("rank").alias("isa"))
