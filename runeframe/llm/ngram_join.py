@@ -250,7 +250,11 @@ def linked_classes(classes: DataFrame, percent: int) -> DataFrame | None:
             a, b = a.withColumn("len", scale(F.col("n_a"))), b.withColumn("len", F.explode(F.sequence(scale(F.col("n_b")) - 1, scale(F.col("n_b")) + 1)))
         else:  # first those with the fewest grams of their own, the likely centres; then by a hash that changes with the round
             chosen = ["at_a", "a"] if turn == 0 else [F.xxhash64(F.lit(turn), "a"), "a"]
-            a = a.withColumn("nth", F.row_number().over(Window.partitionBy("gram").orderBy(*chosen))).where(F.col("nth") <= LEADERS).drop("nth")
+            # Leaders of each part of a group come first, then those of the group, so that no task reads a large group
+            a = a.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+            for group in (["gram", "salt"], ["gram"]):
+                a = a.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*chosen))).where(F.col("nth") <= LEADERS).drop("nth")
+            a = a.drop("salt")
         a = a.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size")
         pairs = a.join(b, ["gram", "part", "len"] if everything else ["gram", "part"]).where("of_a < of_b" if everything else "of_a <> of_b").where(_passes(percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
