@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from runeframe.operators import blocks, sequence, suffixes, tree
+from runeframe.operators import blocks, mining, sequence, suffixes, tree
 
 TEXTS = [(i, t) for i, t in enumerate(["", "a", "aa", "mississippi", "a\x00a", "abab" * 30, None, "el_anele"])]
 
@@ -63,3 +63,25 @@ def test_parentheses_made_with_the_suffix_array(spark):
     found = pick(tree.parentheses_of_texts(n))
     assert found == pick(tree.parentheses(tree.nodes(n))) and found
     assert "Exchange hashpartitioning" not in plan(tree.parentheses_of_texts(n))
+
+
+def test_kgrams_are_summed_up_in_the_task(spark, monkeypatch):
+    monkeypatch.setattr(mining, "PART", 7)
+    docs = texts(spark, [(0, "abcabdabeabf\U0001f600\U0001f600"), (1, "ab"), (2, None), (3, ""), (4, "a\x00a\x00a")])
+    grams = [t[i : i + 2] for t in ("abcabdabeabf\U0001f600\U0001f600", "ab", "a\x00a\x00a") for i in range(len(t) - 1)]
+    found = mining.frequent_kgrams(docs, 2, 1, 9)
+    assert dict(map(tuple, found.collect())) == {g: grams.count(g) for g in grams}
+    assert "Generate" not in plan(found)
+
+
+def test_candidates_of_a_sample_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    some = spark.range(100).coalesce(1).selectExpr("cast(id as string) as gram").mapInArrow(run, "gram string")
+    assert mining.sampled(some, 5).count() == 5
+    assert made.value == 100
