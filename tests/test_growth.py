@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from runeframe.operators import blocks, mining, sequence, suffixes, tree
+from runeframe.operators import arrays, blocks, mining, sequence, suffixes, tree
 
 TEXTS = [(i, t) for i, t in enumerate(["", "a", "aa", "mississippi", "a\x00a", "abab" * 30, None, "el_anele"])]
 
@@ -85,3 +85,19 @@ def test_candidates_of_a_sample_are_made_once(spark):
     some = spark.range(100).coalesce(1).selectExpr("cast(id as string) as gram").mapInArrow(run, "gram string")
     assert mining.sampled(some, 5).count() == 5
     assert made.value == 100
+
+
+def test_bad_neighbours_are_found_without_ranges_of_cells(spark):
+    rnd = random.Random(2)
+    rows = [(k, 5 * i, float(rnd.randrange(6))) for k in range(3) for i in range(40)]
+    values = spark.createDataFrame(rows, "key long, idx long, val double")
+    good = arrays.smaller_neighbours(values, ["key"])
+    bad = good.withColumn("psv", F.when((F.col("idx") == 50) & (F.col("key") == 1), F.col("idx") + 1).otherwise(F.col("psv"))).withColumn("nsv", F.when((F.col("idx") % 35 == 0) & F.col("nsv").isNotNull(), F.lit(None)).otherwise(F.col("nsv")))
+    wrong = {(r.key, r.idx) for r in good.where("idx % 35 = 0 and nsv is not null or idx = 50 and key = 1").collect()}
+    assert arrays.bad_neighbours(values, good, ["key"]).count() == 0
+    found = arrays.bad_neighbours(values, bad, ["key"])
+    assert {(r.query.key, r.query.idx) for r in found.collect()} == wrong and wrong
+    assert "Generate" not in plan(found)
+    v = np.array([rnd.randrange(9) for _ in range(50)])
+    a, b = map(np.array, zip(*[(i, j) for i in range(50) for j in range(i + 1, 51)], strict=True))
+    assert arrays.least_between(v, a, b).tolist() == [v[i:j].min() for i, j in zip(a, b, strict=True)]
