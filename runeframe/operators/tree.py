@@ -177,6 +177,19 @@ def parentheses_of_texts(texts: DataFrame, id_col: str = "doc_id", text_col: str
     return per_document(texts, table, {"idx": "long", "bit": "long"}, id_col, text_col).withColumn("bit", F.col("bit").cast("int"))
 
 
+def enclosing_pairs_of_texts(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """arrays.enclosing_pairs() of parentheses_of_texts(), made where the suffix array is: a pair is a node, its level is one more than the node's, and its parent's pair encloses it."""
+
+    def table(texts: list[str]) -> dict:
+        s = suffixes_of_texts(texts)
+        t = intervals_of(s)
+        idx, _, _ = parentheses_of(t, s)
+        opening, closing = idx[: len(t.lb)], idx[len(t.lb) :]
+        return {OF: t.of, "open": opening, "close": closing, "level": t.level + 1, "enclose": pa.array(opening[np.maximum(t.parent, 0)], mask=t.parent < 0)}
+
+    return per_document(texts, table, {c: "long" for c in ("open", "close", "level", "enclose")}, id_col, text_col)
+
+
 def is_leaf() -> Column:
     return F.col("lb") == F.col("rb")
 

@@ -133,3 +133,31 @@ def test_block_queries_move_no_rows_of_suffixes(spark, small):
 
     for name in ("blocks_heavy_light", "block_reductions", "singleton_pointers", "block_minimal_depths", "factor_positions", "parse_report"):
         assert "Exchange hashpartitioning" not in plan(QUERIES[name](spark, small)), name
+
+
+def test_patterns_meet_blocks_in_texts(spark, monkeypatch):
+    rnd = random.Random(8)
+    n = texts(spark, [*TEXTS, *((20 + i, "".join(rnd.choice("ab\x00") for _ in range(rnd.randrange(60)))) for i in range(5))])
+    some = {"", "a", "ab", "ba", "issi", "mississippi", "zz", "abab", "a" * 9, "\x00a", *("".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 6))) for _ in range(8))}
+    asked = spark.createDataFrame([(i, p) for i, p in enumerate([*sorted(some), "ab", None])], "pattern_id long, pattern string")
+    for b, parse in ((3, True), (70, False)):
+        rows = blocks.blocks(blocks.block_table(n, b, parse=parse), n).cache()
+        for in_texts, joined in ((blocks.narrowed_in_texts, blocks.narrowed), (blocks.under_in_texts, blocks.under), (blocks.chunk_filter_in_texts, blocks.chunk_filter)):
+            made, expected = in_texts(n, b, asked, parse=parse), joined(rows, asked)
+            assert made.dtypes == expected.dtypes
+            assert sorted(map(tuple, made.collect())) == sorted(map(tuple, expected.collect())), (in_texts.__name__, b, parse)
+            assert "Exchange hashpartitioning" not in plan(made)
+    expected = sorted(map(tuple, blocks.narrowed_in_texts(n, 3, asked).collect()))
+    monkeypatch.setattr("runeframe.plans.sizing.MOST_ROWS", 5)
+    assert sorted(map(tuple, blocks.narrowed_in_texts(n, 3, asked).collect())) == expected
+    assert not blocks.under_in_texts(n, 3, asked.where("pattern = ''")).count()
+
+
+def test_enclosing_pairs_made_with_the_suffix_array(spark, small):
+    from runeframe.plans.queries import QUERIES
+
+    n = texts(spark)
+    made, joined = tree.enclosing_pairs_of_texts(n), arrays.enclosing_pairs(tree.parentheses_of_texts(n), ["doc_id"])
+    assert made.dtypes == joined.dtypes
+    assert set(map(tuple, made.collect())) == set(map(tuple, joined.collect())) and made.count() == joined.count()
+    assert "Exchange hashpartitioning" not in plan(QUERIES["tree_parentheses"](spark, small))
