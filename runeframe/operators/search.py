@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeframe.functions.text import SMALL, pieces
+from runeframe.operators.suffixes import OF, code_points, per_document
 from runeframe.plans.sizing import is_small, small_side, spread
 
 try:
@@ -242,35 +244,115 @@ def matching_statistics(pairs: DataFrame) -> DataFrame:
     The automaton of all substrings of first is walked along second, so a pair costs time in proportion to its texts.
     """
 
-    def run(batches):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, first, second in zip(batch["id"], batch["first"], batch["second"], strict=True):
+            row, sizes, length = [], [], []
+
+            def send(ids: pa.Array = batch.column(0)) -> pa.RecordBatch:
+                of, each = np.repeat(np.array(row), sizes), np.array(sizes)
+                pos = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+                out = pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(pos), pa.array(length, pa.int64())], names=["id", "pos", "length"])
+                for column in (row, sizes, length):
+                    column.clear()
+                return out
+
+            for i, (first, second) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if second:
-                    found = longest_matches(automaton(first or ""), second)
-                    yield pd.DataFrame({"id": key, "pos": np.arange(len(found)), "length": found})
+                    row.append(i)
+                    sizes.append(len(second))
+                    length += longest_matches(automaton(first or ""), second)
+                    if len(length) >= HITS:
+                        yield send()
+            if row:
+                yield send()
 
     kind = pairs.schema["id"].dataType.simpleString()
-    return pairs.select("id", "first", "second").mapInPandas(run, f"id {kind}, pos long, length long")
+    return pairs.select("id", "first", "second").mapInArrow(run, f"id {kind}, pos long, length long")
 
 
 #: Ends a pattern where several are read as one text; a text never matches it.
 APART = "\uffff"
 
 
+#: Rounds of comparing as many symbols as a number holds, and numbers that all rounds hold together. A text with longer matches is walked.
+ROUNDS, HELD = 32, 1 << 24
+
+
+class Matcher:
+    """The longest match in patterns (joined by APART) from each place of texts.
+
+    Substrings of patterns are told apart by as many symbols as a number holds, in rounds: numbers of a round are the substring so far and the symbols that follow. A place finds its neighbours in the
+    ascending numbers by halving, and shares the most symbols with one of the two. Places that share all of them go on to the next round.
+    """
+
+    def __init__(self, joined: str, rounds: int = ROUNDS):
+        codes = code_points(joined)
+        self.joined, self.walked = joined, None
+        self.known = np.unique(codes[codes != ord(APART)])
+        self.bits = (len(self.known) + 1).bit_length()
+        self.h = max(1, (62 - len(codes).bit_length()) // self.bits)
+        # APART and what lies behind the last pattern is no symbol of a text, and what a text has beside the known ones, 0, is none of the patterns
+        end = len(self.known) + 1
+        packed = self.packed(np.where(codes == ord(APART), end, np.searchsorted(self.known, codes) + 1), end)
+        after = np.flatnonzero(np.append(codes == ord(APART), True))
+        left = after[np.searchsorted(after, np.arange(len(codes)))] - np.arange(len(codes))  # symbols up to the pattern's end
+        at, group, self.rounds = np.flatnonzero(left > 0), np.zeros(len(codes), dtype=np.int64), []
+        while len(at) and len(self.rounds) < min(rounds, max(1, HELD // len(codes))):
+            keys, group[at] = np.unique(group[at] << (self.h * self.bits) | packed[at + len(self.rounds) * self.h], return_inverse=True)
+            self.rounds.append(keys)
+            at = at[left[at] > len(self.rounds) * self.h]
+        self.whole = not len(at)
+
+    def packed(self, numbers: np.ndarray, end: int) -> np.ndarray:
+        """The h numbers from each place on as one; end behind the last."""
+        out, padded = np.zeros(len(numbers), dtype=np.int64), np.concatenate((numbers, np.full(self.h, end)))
+        for j in range(self.h):
+            out = out << self.bits | padded[j : j + len(numbers)]
+        return out
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """For the places of all texts, each with one behind its end."""
+        codes = code_points(APART.join(texts) + APART)
+        place = np.minimum(np.searchsorted(self.known, codes), max(0, len(self.known) - 1))
+        packed = self.packed(np.where(self.known[place] == codes, place + 1, 0) if len(self.known) else np.zeros(len(codes), dtype=np.int64), 0)
+        length, at, group, all_of = np.zeros(len(codes), dtype=np.int64), np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), self.h * self.bits
+        for r, keys in enumerate(self.rounds):
+            # A place that shares all symbols so far ends before its text does, so there is a place r * h further
+            asked = group << all_of | packed[at + r * self.h]
+            near = np.searchsorted(keys, asked)
+            differ = np.minimum(asked ^ keys[np.maximum(near - 1, 0)], asked ^ keys[np.minimum(near, len(keys) - 1)])
+            for j in range(1, self.h + 1):
+                length[at] += differ < (1 << (all_of - j * self.bits))
+            some = np.flatnonzero(differ == 0)
+            at, group = at[some], near[some]
+            if not len(at):
+                break
+        if len(at) and not self.whole:
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            self.walked = self.walked or automaton(self.joined)
+            for i in np.unique(np.searchsorted(ends, at, side="right")).tolist():
+                length[ends[i] - len(texts[i]) - 1 : ends[i] - 1] = longest_matches(self.walked, texts[i].replace(APART, "\ufffe"))
+        return length
+
+
 def matching_statistics_of_batch(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """doc_id, pos, length for docs (doc_id, text) and patterns (pattern_id, pattern): the longest match of a text from pos on that stands in any pattern.
 
-    Patterns are read to the driver and make one automaton in each task, so their total must fit there; texts are walked once.
+    Patterns are read to the driver and held by each task, so their total must fit there.
     """
     joined = APART.join(r[0] for r in patterns.where("pattern is not null").select("pattern").distinct().collect())
+    held = docs.sparkSession.sparkContext.broadcast(joined)
+
+    def table(texts: list[str]) -> dict:
+        sizes = np.array([len(t) for t in texts])
+        of = np.repeat(np.arange(len(texts)), sizes + 1)
+        pos = np.arange(len(of)) - (np.cumsum(sizes + 1) - sizes - 1)[of]
+        some = np.flatnonzero(pos < sizes[of])
+        return {OF: of[some], "pos": pos[some], "length": _matcher(held.value).lengths(texts)[some]}
+
+    return per_document(docs.select("doc_id", "text"), table, {"pos": "long", "length": "long"})
 
-    def run(batches):
-        known = automaton(joined)
-        for batch in batches:
-            for key, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if text:
-                    found = longest_matches(known, text.replace(APART, "\ufffe"))
-                    yield pd.DataFrame({"doc_id": key, "pos": np.arange(len(found)), "length": found})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, pos long, length long")
+@lru_cache(maxsize=1)
+def _matcher(joined: str) -> Matcher:
+    return Matcher(joined)

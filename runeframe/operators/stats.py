@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeframe.functions.text import SENTINEL, kgrams, symbols
+from runeframe.operators.suffixes import OF, per_document, suffixes_of_texts
 from runeframe.plans.sizing import unsized
 
 
@@ -48,6 +50,18 @@ def lcp_report(suffixes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return suffixes.groupBy(id_col).agg(F.max("lcp").alias("max_lcp"), F.sum("lcp").alias("sum_lcp"), F.avg("lcp").alias("mean_lcp"))
 
 
+def lcp_report_of_texts(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """lcp_report() of suffix_table(), made where the suffix array is: one row of a text moves, not one of each suffix."""
+
+    def table(texts: list[str]) -> dict:
+        s = suffixes_of_texts(texts)
+        lcp = np.maximum(s.lcp, 0)
+        return {OF: np.arange(len(texts)), "max_lcp": np.maximum.reduceat(lcp, s.start), "sum_lcp": np.add.reduceat(lcp, s.start), "n": s.size}
+
+    each = per_document(texts, table, {"max_lcp": "long", "sum_lcp": "long", "n": "long"}, id_col, text_col)
+    return each.select(id_col, "max_lcp", "sum_lcp", (F.col("sum_lcp") / F.col("n")).alias("mean_lcp"))
+
+
 def sigma(texts: DataFrame) -> DataFrame:
     """sigma: distinct symbols of all texts, the sentinel included."""
     return symbols(texts).agg((F.countDistinct("sym") + 1).alias("sigma"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from runeframe.operators import arrays, blocks, mining, sequence, suffixes, tree
+from runeframe.operators import arrays, blocks, mining, search, sequence, stats, suffixes, tree
 
 TEXTS = [(i, t) for i, t in enumerate(["", "a", "aa", "mississippi", "a\x00a", "abab" * 30, None, "el_anele"])]
 
@@ -161,3 +161,29 @@ def test_enclosing_pairs_made_with_the_suffix_array(spark, small):
     assert made.dtypes == joined.dtypes
     assert set(map(tuple, made.collect())) == set(map(tuple, joined.collect())) and made.count() == joined.count()
     assert "Exchange hashpartitioning" not in plan(QUERIES["tree_parentheses"](spark, small))
+
+
+def test_matches_by_numbers_are_those_of_the_walk():
+    rnd = random.Random(9)
+    for known in ("ab", "abcdefgh \U0001f600\x00", "".join(map(chr, range(900, 1500)))):
+        patterns = ["".join(rnd.choice(known) for _ in range(rnd.randrange(70))) for _ in range(5)]
+        some = ["", "".join(rnd.choice(known + "￿?") for _ in range(50)), *patterns, patterns[0] + patterns[1], "?" + patterns[2] * 2]
+        walk = search.automaton(search.APART.join(patterns))
+        expected = [x for t in some for x in [*search.longest_matches(walk, t.replace(search.APART, "￾")), 0]]
+        for rounds in (1, 2, 99):
+            assert search.Matcher(search.APART.join(patterns), rounds).lengths(some).tolist() == expected
+    assert search.Matcher("").lengths(["ab", ""]).tolist() == [0, 0, 0, 0]
+
+
+def test_matches_of_pairs_come_in_batches(spark):
+    pairs = spark.createDataFrame([(i, "abcab", "xabca") for i in range(500)] + [(500, None, "a"), (501, "a", None), (502, "a", "")], "id long, first string, second string").coalesce(1)
+    found = search.matching_statistics(pairs)
+    assert sorted(map(tuple, found.collect())) == sorted([(i, p, n) for i in range(500) for p, n in enumerate((0, 4, 3, 2, 1))] + [(500, 0, 0)])
+    assert "PythonMapInArrow" in plan(found) or "MapInArrow" in plan(found)
+
+
+def test_lcp_report_made_with_the_suffix_array(spark):
+    n = texts(spark)
+    made, joined = stats.lcp_report_of_texts(n), stats.lcp_report(suffixes.suffix_table(n))
+    assert made.dtypes == joined.dtypes and sorted(map(tuple, made.collect())) == sorted(map(tuple, joined.collect()))
+    assert "Exchange hashpartitioning" not in plan(made)
