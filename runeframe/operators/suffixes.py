@@ -7,7 +7,7 @@ batches; short documents are ranked together. The common prefix of neighbours is
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -171,6 +171,26 @@ def suffix_table(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return per_document(texts, table, {"rank": "long", "pos": "long", "lcp": "long", "bwt": "string"}, id_col, text_col)
 
 
+def bwt_selected(texts: DataFrame, nth: Sequence[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, sym, j, pos: the rank of the j-th place of each symbol of a text's BWT, for each j of nth (from 1); null if there are fewer. Made where the suffix array is: suffixes are no rows."""
+    nth = np.array(nth, dtype=np.int64)
+
+    def table(texts: list[str]) -> dict:
+        s = suffixes_of_texts(texts)
+        before = before_suffixes(s)
+        known, number = np.unique(before, return_inverse=True)
+        group = s.of * len(known) + number
+        ranks = np.argsort(group, kind="stable")
+        start = np.flatnonzero(np.append(True, group[ranks[1:]] != group[ranks[:-1]]))
+        until = np.append(start[1:], len(ranks))
+        at = (start[:, None] + nth - 1).ravel()
+        first, there = np.repeat(ranks[start], len(nth)), at < np.repeat(until, len(nth))
+        of, place = s.of[first], ranks[np.where(there, at, 0)]
+        return {OF: of, "sym": characters(before[first]), "j": np.tile(nth, len(start)), "pos": pa.array(place - s.start[of], mask=~there)}
+
+    return per_document(texts, table, {"sym": "string", "j": "long", "pos": "long"}, id_col, text_col)
+
+
 def sequence_suffix_table(sequences: DataFrame, id_col: str = "seq_id", order_col: str = "pos", sym_col: str = "sym") -> DataFrame:
     """suffix_table() of sequences of numbers, given as rows: id, rank, pos, lcp, previous (null for the sentinel). Sorting is by number."""
     kind = sequences.schema[id_col].dataType.simpleString()

@@ -189,3 +189,15 @@ def test_lcp_report_made_with_the_suffix_array(spark):
     made, joined = stats.lcp_report_of_texts(n), stats.lcp_report(suffixes.suffix_table(n))
     assert made.dtypes == joined.dtypes and sorted(map(tuple, made.collect())) == sorted(map(tuple, joined.collect()))
     assert "Exchange hashpartitioning" not in plan(made)
+
+
+def test_bwt_places_made_with_the_suffix_array(spark, small):
+    from runeframe.plans.queries import QUERIES
+
+    n = texts(spark)
+    bwt = suffixes.suffix_table(n).select("doc_id", F.col("rank").alias("pos"), F.col("bwt").alias("sym"))
+    asked = bwt.select("doc_id", "sym").distinct().select("doc_id", "sym", F.explode(F.array(*[F.lit(j).cast("long") for j in (1, 2, 5)])).alias("j"))
+    made, joined = suffixes.bwt_selected(n, (1, 2, 5)), sequence.select(bwt, asked, ["doc_id"])
+    assert made.dtypes == joined.dtypes
+    assert sorted(made.collect(), key=str) == sorted(joined.collect(), key=str) and made.where("pos is null").count()
+    assert "Exchange hashpartitioning" not in plan(QUERIES["bwt_select"](spark, small))
