@@ -190,6 +190,30 @@ def enclosing_pairs_of_texts(texts: DataFrame, id_col: str = "doc_id", text_col:
     return per_document(texts, table, {c: "long" for c in ("open", "close", "level", "enclose")}, id_col, text_col)
 
 
+def double_enclosing_leaves(texts: DataFrame, apart: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, query, i, j, double_enclose, rr_enclose: arrays.double_enclosing() of each leaf (query, its rank) and the one apart ranks on, made where the suffix array is.
+
+    The narrowest pair around both is their lowest common ancestor's, and the widest that holds the second alone its child's there, if that isn't the leaf.
+    """
+
+    def table(texts: list[str]) -> dict:
+        s = suffixes_of_texts(texts)
+        t = intervals_of(s)
+        n = len(s.order)
+        opening = parentheses_of(t, s)[0][: len(t.lb)]
+        rank = np.arange(max(0, n - apart))
+        rank = rank[s.of[rank] == s.of[rank + apart]]
+        parts = rank + 1  # the last place where suffixes share least between both
+        for d in range(2, apart + 1):
+            parts = np.where(s.lcp[rank + d] <= s.lcp[parts], rank + d, parts)
+        widest = np.arange(n)  # of the nodes that start at a rank; inner ones come by start, then by end
+        widest[t.lb[n:]] = np.arange(n, len(t.lb))
+        child, of = widest[parts], s.of[rank]
+        return {OF: of, "query": _local(rank, s, of), "i": opening[rank], "j": opening[rank + apart], "double_enclose": opening[t.at[parts]], "rr_enclose": pa.array(opening[child], mask=child < n)}
+
+    return per_document(texts, table, {c: "long" for c in ("query", "i", "j", "double_enclose", "rr_enclose")}, id_col, text_col)
+
+
 def is_leaf() -> Column:
     return F.col("lb") == F.col("rb")
 

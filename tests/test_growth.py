@@ -201,3 +201,19 @@ def test_bwt_places_made_with_the_suffix_array(spark, small):
     assert made.dtypes == joined.dtypes
     assert sorted(made.collect(), key=str) == sorted(joined.collect(), key=str) and made.where("pos is null").count()
     assert "Exchange hashpartitioning" not in plan(QUERIES["bwt_select"](spark, small))
+
+
+def test_double_enclosing_leaves_made_with_the_suffix_array(spark, small):
+    from runeframe.plans.queries import QUERIES
+
+    rnd = random.Random(3)
+    n = texts(spark, [*TEXTS, *((20 + i, "".join(rnd.choice("ab") for _ in range(rnd.randrange(40)))) for i in range(20))])
+    t = tree.nodes(n).cache()
+    p = tree.parentheses(t).cache()
+    opens = p.where("bit = 1").join(tree.numbered(t).where("lb = rb").select("doc_id", "node_id", F.col("lb").alias("leaf")), ["doc_id", "node_id"])
+    for apart in (1, 2, 3):
+        pairs = opens.select("doc_id", F.col("leaf").alias("query"), F.col("idx").alias("i")).join(opens.select("doc_id", (F.col("leaf") - apart).alias("query"), F.col("idx").alias("j")), ["doc_id", "query"])
+        made, joined = tree.double_enclosing_leaves(n, apart), arrays.double_enclosing(p.select("doc_id", "idx", "bit"), pairs, ["doc_id"])
+        assert made.dtypes == joined.dtypes
+        assert sorted(made.collect(), key=str) == sorted(joined.collect(), key=str)
+    assert "Exchange hashpartitioning" not in plan(QUERIES["double_enclose"](spark, small))
