@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runeframe.llm.common import quoted
+from runeframe.llm.common import lean, quoted
 
 #: Characters of a chunk, and how far it reaches beyond either end of it (less than half a chunk). Texts are cut twice, as offsets are found by walking along: first to so many chunks.
 CHUNK, OVERLAP, AT_ONCE = 8192, 256, 8
@@ -174,13 +174,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, id_col:
         return pa.table([*rows([ids], key.chunk(0) if isinstance(key, pa.ChunkedArray) else key, codec), table.column("copies").slice(0, 1)], names=["id", "ids", "decoded", "copies"])
 
     long = F.coalesce(F.length("text") > size + overlap, F.lit(False))
-    short = source.where(~long).mapInArrow(whole, f"id {kind}, ids array<int>, decoded binary")
+    short = source.where(~long).mapInArrow(lean(whole), f"id {kind}, ids array<int>, decoded binary")
     chunks = cut(source.where(long))
-    bounds = chunks.mapInArrow(split, "name string, k int, head array<int>, tail array<int>")
+    bounds = chunks.mapInArrow(lean(split), "name string, k int, head array<int>, tail array<int>")
     order = Window.partitionBy("name").orderBy("k")
     met = bounds.select("name", "k", F.when(F.col("k") == 0, 0).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(order), "head"))).alias("start"))
     stitched = met.select("name", "k", "start", F.lead("start").over(order).alias("stop"), F.max(F.col("start").isNull()).over(Window.partitionBy("name")).alias("apart"))
-    coded = chunks.join(stitched, ["name", "k"]).mapInArrow(pieces, f"name string, k int, id {kind}, copies long, part binary, own string")
+    coded = chunks.join(stitched, ["name", "k"]).mapInArrow(lean(pieces), f"name string, k int, id {kind}, copies long, part binary, own string")
     gathered = coded.groupBy("name").applyInArrow(collect, f"id {kind}, ids array<int>, decoded binary, copies long")
     again = gathered.select("id", "ids", "decoded", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_")).drop("_")
     return short.unionByName(again)

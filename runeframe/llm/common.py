@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +81,52 @@ def key_range(key: Column) -> Column:
 
 #: df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
 settled = kept
+
+
+#: Rows of a batch that goes to Python where its rows are whole texts.
+TEXT_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """What is planned and run meanwhile sends batches of so many rows to Python: both sides hold a batch, and a batch of texts is as large as they are."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def given_back() -> None:
+    """Memory that a Python worker has freed goes back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; what it held is given back when it ends."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        given_back()
+
+    return wrapped
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """run, for applyInArrow; what it held is given back after each group."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        given_back()
+        return out
+
+    return wrapped

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runeframe.llm.common import quoted, settled
+from runeframe.llm.common import lean, lean_group, quoted, settled, small_batches
 from runeframe.llm.components import components
 from runeframe.llm.hashing import BUCKETS, bucket_cuts, grams, joined, mix, pack, signed, sliced, steps, unpack, unsigned, word_hashes
 
@@ -161,9 +161,9 @@ def shared_grams(source: DataFrame, n_buckets: int, n: int, percent: int) -> Dat
         kind = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int64())]))
         return pa.table({"class": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "prints": pa.array([r[2] for r in rows], pa.binary()), "prefix": pa.array([r[3] for r in rows], kind)})
 
-    sent = source.mapInArrow(scan, "bucket int, batch long, grams binary, sizes binary, own binary")
-    counted = sent.groupBy("bucket").applyInArrow(count, "bucket int, batch long, hits binary, sizes binary, own binary")
-    return counted.groupBy("bucket").applyInArrow(choose, "class long, n long, prints binary, prefix array<struct<gram:long,at:long>>")
+    sent = source.mapInArrow(lean(scan), "bucket int, batch long, grams binary, sizes binary, own binary")
+    counted = sent.groupBy("bucket").applyInArrow(lean_group(count), "bucket int, batch long, hits binary, sizes binary, own binary")
+    return counted.groupBy("bucket").applyInArrow(lean_group(choose), "class long, n long, prints binary, prefix array<struct<gram:long,at:long>>")
 
 
 def _prints(blob: bytes) -> np.ndarray:
@@ -290,7 +290,8 @@ def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     """id, class of every row; and class, first (its smallest id), n, component, linked (whether it has links) of every class."""
     n_buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(_class(text_col).alias("class"), quoted(text_col).alias("text"))
-    classes = settled(shared_grams(source, n_buckets, n, percent))
+    with small_batches(docs.sparkSession):
+        classes = settled(shared_grams(source, n_buckets, n, percent))
     labels = linked_classes(classes, percent)
     sizes = classes.select("class", "n").distinct()
     labels = sizes.select("class", F.col("class").alias("component")).limit(0) if labels is None else labels

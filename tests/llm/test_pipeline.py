@@ -55,3 +55,23 @@ def test_copies_leave_one(spark, tmp_path):
     assert {r.text for r in line_dedup.without_boilerplate(spark.read.parquet(str(tmp_path / "documents.parquet"))).where("doc_id < 10").collect()} == {clean}
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert sorted(out) == [0, *range(10, 30)] and out[0].n_tokens > 20
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from runeframe.llm import common, ngram_join
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.sparkContext.accumulator(0)
+    before = spark.conf.get(name)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows > 100:
+                seen.add(1)
+            yield batch
+
+    with common.small_batches(spark, 100):
+        common.settled(spark.range(1000).coalesce(1).mapInArrow(common.lean(run), "id long"))
+    assert (seen.value, spark.conf.get(name)) == (0, before)
+    docs = spark.createDataFrame([(i, f"a b c d {i % 3} e f g h i j k l") for i in range(30)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(docs, percent=100).collect()) == [0, 1, 2]
+    assert spark.conf.get(name) == before
