@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from runeframe.operators import arrays, blocks, mining, search, sequence, stats, suffixes, tree
@@ -217,3 +218,19 @@ def test_double_enclosing_leaves_made_with_the_suffix_array(spark, small):
         assert made.dtypes == joined.dtypes
         assert sorted(made.collect(), key=str) == sorted(joined.collect(), key=str)
     assert "Exchange hashpartitioning" not in plan(QUERIES["double_enclose"](spark, small))
+
+
+def test_index_rows_are_sorted_where_they_are_made(spark, monkeypatch):
+    rows = suffixes.index_rows(texts(spark), 3).withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id())
+    assert "rangepartitioning" not in plan(rows)
+    found = rows.orderBy("nth").collect()
+    assert all(a.key <= b.key for a, b in zip(found, found[1:], strict=False) if a.part == b.part)
+    assert sorted((r.doc_id, r.pos, r.key) for r in found) == sorted((i, p, t[p : p + 3]) for i, t in TEXTS if t for p in range(len(t)))
+    monkeypatch.setattr(suffixes, "RUN", 5)
+    rnd = random.Random(3)
+    for key in (1, 3, 12, 40):
+        some = ["".join(rnd.choice("ab\x00é\U0001f600") for _ in range(rnd.randrange(1, 60))) for _ in range(20)]
+        parts = [(i, at, t[at : at + 5 + key - 1]) for i, t in enumerate(some) for at in range(0, len(t), 5)]
+        made = suffixes._sorted_run([pa.array([i]) for i, _, _ in parts], [p for _, _, p in parts], [at for _, at, _ in parts], key)
+        got = [tuple(r.values()) for batch in made for r in batch.to_pylist()]
+        assert got == sorted(((i, p, t[p : p + key]) for i, t in enumerate(some) for p in range(len(t))), key=lambda r: (r[2], r[0], r[1]))
