@@ -234,3 +234,12 @@ def test_index_rows_are_sorted_where_they_are_made(spark, monkeypatch):
         made = suffixes._sorted_run([pa.array([i]) for i, _, _ in parts], [p for _, _, p in parts], [at for _, at, _ in parts], key)
         got = [tuple(r.values()) for batch in made for r in batch.to_pylist()]
         assert got == sorted(((i, p, t[p : p + key]) for i, t in enumerate(some) for p in range(len(t))), key=lambda r: (r[2], r[0], r[1]))
+
+
+def test_rows_of_trees_lie_by_place(spark):
+    made = {"nodes": (tree.nodes, ["lb", "rb"]), "parentheses": (tree.parentheses_of_texts, ["idx"]), "suffix links": (tree.suffix_links, ["link_lb", "link_rb"]), "weiner links": (tree.weiner_links, ["link_lb", "link_rb"])}
+    some = spark.createDataFrame([(i, "banana" * (i % 3)) for i in range(400)], "doc_id long, text string")
+    for name, (make, order) in made.items():
+        found = make(some).select("doc_id", F.struct(*order).alias("at"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth")).orderBy("nth").collect()
+        assert all(a.at <= b.at for a, b in zip(found, found[1:], strict=False) if a.part == b.part), name
+        assert len({r.doc_id for r in found[:3] if r.at == found[0].at}) > 1, name
