@@ -236,6 +236,28 @@ def test_index_rows_are_sorted_where_they_are_made(spark, monkeypatch):
         assert got == sorted(((i, p, t[p : p + key]) for i, t in enumerate(some) for p in range(len(t))), key=lambda r: (r[2], r[0], r[1]))
 
 
+def test_substrings_of_the_grid_travel_packed(spark):
+    docs = texts(spark, [(i, t) for i in range(3) for _, t in TEXTS] + [(9, "".join(chr(97 + (i * i) % 7) for i in range(500)))])
+    rows = [t for _ in range(3) for _, t in TEXTS if t] + ["".join(chr(97 + (i * i) % 7) for i in range(500))]
+    found = mining.kgram_grid(docs, (2, 5, 40), ((1, 1), (2, 6), (5, 10**6)))
+    assert "FlatMapGroupsInArrow" in plan(found) and "low" not in plan(found)
+    expected = {}
+    for k in (2, 5, 40):
+        grams = [t[i : i + k] for t in rows for i in range(len(t) - k + 1)]
+        for n in (grams.count(g) for g in set(grams)):
+            cell = (k, 1, 1) if n == 1 else (k, 2, 6) if n <= 6 else (k, 5, 10**6)
+            expected[cell] = expected.get(cell, 0) + 1
+    assert {(r.k, r.least, r.most): r.candidates for r in found.collect()} == expected
+
+
+def test_packed_substrings_meet_by_all_their_bits():
+    low, high, n = np.array([0, 5, 2**64 - 1], np.uint64), np.array([7, 0, 2**32 - 1], np.uint64), np.array([1, 300, 2])
+    pack = lambda l, h, c: mining._planes(np.diff(l, prepend=np.uint64(0))) + mining._planes(h) + mining._planes(c)  # noqa: E731,E741
+    same, other = pack(low, high, n), pack(low, high + np.array([1, 0, 0], np.uint64), n)
+    assert sorted(mining._met([3, 3], [same, same]).tolist()) == [2, 4, 600]
+    assert sorted(mining._met([3, 3], [same, other]).tolist()) == [1, 1, 4, 600]
+
+
 def test_rows_of_trees_lie_by_place(spark):
     made = {"nodes": (tree.nodes, ["lb", "rb"]), "parentheses": (tree.parentheses_of_texts, ["idx"]), "suffix links": (tree.suffix_links, ["link_lb", "link_rb"]), "weiner links": (tree.weiner_links, ["link_lb", "link_rb"])}
     some = spark.createDataFrame([(i, "banana" * (i % 3)) for i in range(400)], "doc_id long, text string")
